@@ -101,19 +101,19 @@ SQL_BLANKS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 
 _STATES = """
 WITH s AS (
-  SELECT video_id, provider_key, acquisition_group, epoch_us(captured_at) AS at, outcome, failure_category,
+  SELECT video_id, provider_key, acquisition_group, epoch_us(captured_at) AS ts_us, outcome, failure_category,
     epoch_us(CASE WHEN regexp_matches(last_success_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$')
       THEN CAST(last_success_at AS TIMESTAMPTZ) ELSE CAST(NULLIF(last_success_at, '') || '+00:00' AS TIMESTAMPTZ) END) AS last_success
   FROM acquisition_states),
-l AS (SELECT *, lag(at) OVER w AS b, lag(outcome) OVER w AS bo, lag(last_success) OVER w AS bl, lag(failure_category) OVER w AS bf FROM s
-  WINDOW w AS (PARTITION BY video_id, provider_key, acquisition_group ORDER BY at, outcome NULLS FIRST, last_success NULLS FIRST, failure_category NULLS FIRST)),
+l AS (SELECT *, lag(ts_us) OVER w AS b, lag(outcome) OVER w AS bo, lag(last_success) OVER w AS bl, lag(failure_category) OVER w AS bf FROM s
+  WINDOW w AS (PARTITION BY video_id, provider_key, acquisition_group ORDER BY ts_us, outcome NULLS FIRST, last_success NULLS FIRST, failure_category NULLS FIRST)),
 v AS (SELECT * FROM l WHERE b IS NULL OR bo IS DISTINCT FROM outcome OR bl IS DISTINCT FROM last_success OR bf IS DISTINCT FROM failure_category)
 """
 
 ORACLES = {
     "p2_acquisition_periods": _STATES
-    + """SELECT video_id, provider_key, acquisition_group, outcome, CAST(last_success // 1000000 AS BIGINT) AS last_success, failure_category, CAST(at // 1000000 AS BIGINT) AS valid_from,
-  CAST(lead(at) OVER (PARTITION BY video_id, provider_key, acquisition_group ORDER BY at, outcome NULLS FIRST, last_success NULLS FIRST, failure_category NULLS FIRST) // 1000000 AS BIGINT) AS valid_to FROM v""",
+    + """SELECT video_id, provider_key, acquisition_group, outcome, CAST(last_success // 1000000 AS BIGINT) AS last_success, failure_category, CAST(ts_us // 1000000 AS BIGINT) AS valid_from,
+  CAST(lead(ts_us) OVER (PARTITION BY video_id, provider_key, acquisition_group ORDER BY ts_us, outcome NULLS FIRST, last_success NULLS FIRST, failure_category NULLS FIRST) // 1000000 AS BIGINT) AS valid_to FROM v""",
     "p4_found": f"""
 WITH e AS (SELECT DISTINCT snapshot_no, source_url, trim(video_id, {SQL_BLANKS}) AS video_id FROM source_entries),
 o AS (SELECT snapshot_no, source_url, last_observed_at, observed_entries FROM source_observations
