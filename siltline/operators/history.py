@@ -201,5 +201,5 @@ def instant_column(column: str):
     """The same as ``instant_from_text`` for the usual spellings, as a column; empty or unreadable is null."""
     c = F.trim(F.col(column))
     part = lambda i, default: F.when(F.regexp_extract(c, _ISO, i) == "", default).otherwise(F.regexp_extract(c, _ISO, i))
-    whole = F.concat(part(1, ""), F.lit(" "), part(2, "00:00:00"), part(3, "+00:00"))
+    whole = F.concat(part(1, ""), F.lit(" "), F.regexp_replace(part(2, "00:00:00"), r"^(\d\d:\d\d)$", "$1:00"), part(3, "+00:00"))
     return F.when(c.rlike(_ISO), F.unix_micros(F.try_to_timestamp(whole)))

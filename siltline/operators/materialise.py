@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 def materialise(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and written to the checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary one is set.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and all runs on one
+    machine, as in tests, a temporary one is set; a cluster needs the setting.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltline-"))
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -19,6 +20,8 @@ KEYED = ("subtitles",)
 NESTED = ("formats", "chapters", "fragments", "replies")
 #: Records that are shredded at a time; bounds the memory of a task.
 STRIPE = 400
+#: Calls that may be nested while a record is read; some four per level.
+DEPTH = 100_000
 
 Path = tuple[str, ...]
 
@@ -191,7 +194,7 @@ def nested_rows(
 
     Defined cases: a member may be a list, a single object (place 0), or either as JSON text; a null element
     keeps its place and is no row; other elements are treated like null; text that is not one complete JSON
-    object has no rows; empty members have none; null ids are kept; clashing names of other columns do not
+    object, or is nested deeper than the JSON reader goes (some thousand levels), has no rows; empty members have none; null ids are kept; clashing names of other columns do not
     matter; repeated records give repeated rows.
     """
     ids = list(ids)
@@ -219,6 +222,7 @@ def nested_rows(
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
         for batch in batches:
             for lo in range(0, batch.num_rows, STRIPE):
                 yield from tables(batch.slice(lo, STRIPE))
