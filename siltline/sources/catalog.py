@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ class Catalog:
     """Relations by name. Names are case-sensitive; @name and name are the same relation."""
 
     def __init__(self) -> None:
-        self._entries: dict[str, Entry] = {}
+        self._entries: dict[str, Entry | Callable[[], Entry]] = {}
         self.default: str | None = None
 
     def register(self, name: str, rows: DataFrame, order: Sequence[str] = (), kinds: Mapping[str, str] | None = None, ordered: Sequence[str] = (), facets: Mapping[str, Column | DataFrame] | None = None, default: bool = False) -> Catalog:
@@ -37,8 +37,17 @@ class Catalog:
             self.default = name.removeprefix("@")
         return self
 
+    def register_lazily(self, name: str, entry: Callable[[], Entry]) -> Catalog:
+        """A relation that is looked up when a query first names it."""
+        self._entries[name.removeprefix("@")] = entry
+        return self
+
     def find(self, name: str) -> Entry | None:
-        return self._entries.get(name.removeprefix("@"))
+        name = name.removeprefix("@")
+        found = self._entries.get(name)
+        if callable(found):
+            found = self._entries[name] = found()
+        return found
 
     def names(self) -> list[str]:
         return sorted(self._entries)
@@ -55,9 +64,12 @@ def table_catalog(spark, directory: str, names: Sequence[str] | None = None) ->
     """A catalog of Parquet tables in a directory, read only when a query names them."""
     from siltline.sources.tables import read_table
 
-    catalog = Catalog()
-    for name in names or TABLE_ORDER:
+    def entry(name: str) -> Entry:
         rows = read_table(spark, directory, name)
         facets = {kind: rows["event_type"] == kind for kind in ("click", "error", "purchase", "signup", "view")} if name == "events" else {}
-        catalog.register(name, rows, TABLE_ORDER.get(name, ()), ordered=("embedding",), facets=facets)
+        return Entry(rows, TABLE_ORDER.get(name, ()), ordered=("embedding",), facets=facets)
+
+    catalog = Catalog()
+    for name in names or TABLE_ORDER:
+        catalog.register_lazily(name, lambda name=name: entry(name))
     return catalog
