@@ -58,7 +58,7 @@ def version_history(
         *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)),
     )
     k, p, o = [f"k{i}" for i in range(len(keys))], [f"p{i}" for i in range(len(payload))], [f"o{i}" for i in range(len(order))]
-    hot = hot_key_hashes(kept, k, hot_share, hot_rows)
+    hot, _ = hot_key_hashes(kept, k, hot_share, hot_rows)
     cold, busy = split_hot(kept, k, hot)
     out = _merged(cold, k, p, o, key_hash(k))
     if busy is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of all rows on; so at most 1 / HOT_SHARE keys are hot.
@@ -25,17 +25,17 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*parts)
 
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows (and ``min_rows``).
+def hot_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS, *also: Column) -> tuple[list[int], Row]:
+    """Hashes of the keys that hold at least ``share`` of the rows (and ``min_rows``), and further aggregates of the same scan.
 
     One scan of the key columns fills a mergeable frequent-items sketch; no row is shuffled. What reaches
     the driver is bounded by ``1 / share`` numbers. A sketch may name a key that is a little too small, or a
     hash two keys share; callers treat the named keys another way, never with another result.
     """
     top = int(1 / share)
-    found = df.select(key_hash(keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {TRACKED})").alias("top")).head()
-    least = max(min_rows, found["n"] * share * 0.9)
-    return [x["item"] for x in found["top"] or [] if x["count"] >= least]
+    found = df.withColumn("_h", key_hash(keys)).agg(F.count(F.lit(1)).alias("_n"), F.expr(f"approx_top_k(_h, {top}, {TRACKED})").alias("_top"), *also).head()
+    least = max(min_rows, found["_n"] * share * 0.9)
+    return [x["item"] for x in found["_top"] or [] if x["count"] >= least], found
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> tuple[DataFrame, DataFrame | None]:

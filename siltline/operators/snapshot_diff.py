@@ -136,14 +136,14 @@ def snapshot_changes(
     64-bit hash within a bucket are found out and that bucket is compared by the keys themselves.
     """
     keys, payload = list(keys), list(payload)
-    numbers = sorted(r[0] for r in rows.select(snapshot).filter(F.col(snapshot).isNotNull()).distinct().collect()) if snapshots is None else list(snapshots)
     k = [f"k{i}" for i in range(len(keys))]
-    base = rows.select(F.col(snapshot).cast("long").alias("s"), *(F.col(c).alias(a) for a, c in zip(k, keys)), (key_hash(payload) if payload else F.lit(0).cast("long")).alias("p")).filter(F.col("s").isin(numbers) if numbers else F.lit(False))
-    hot = hot_key_hashes(base, k, hot_share, hot_rows)
-    cold, busy = split_hot(base, k, hot)
+    base = rows.select(F.col(snapshot).cast("long").alias("s"), *(F.col(c).alias(a) for a, c in zip(k, keys)), (key_hash(payload) if payload else F.lit(0).cast("long")).alias("p"))
+    hot, seen = hot_key_hashes(base, k, hot_share, hot_rows, F.count(F.lit(1)).alias("rows"), F.collect_set("s").alias("numbers"))
+    numbers = sorted(seen["numbers"]) if snapshots is None else list(snapshots)
+    cold, busy = split_hot(base.filter(F.col("s").isin(numbers) if numbers else F.lit(False)), k, hot)
     if busy is not None:
         cold = cold.unionByName(busy.distinct())
-    total = rows.count()
+    total = seen["rows"]
     buckets = max(1, -(-total // bucket_rows))
     bucketed = cold.repartition(F.pmod(key_hash(k), F.lit(buckets))).withColumn("h", key_hash(k)).withColumn("b", F.pmod("h", F.lit(buckets))).sortWithinPartitions("b")
     schema = T.StructType([T.StructField("s", T.LongType()), *(T.StructField(a, bucketed.schema[a].dataType) for a in k), T.StructField("change_kind", T.StringType())])
