@@ -97,36 +97,38 @@ def top_n(rows: DataFrame, group: Sequence[str], score: str, item: str, n: int)
     final = T.StructType([*heads.fields, T.StructField("place", T.IntegerType())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None  # the group that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            edges = [0, *(np.flatnonzero(differs_from_previous(batch, g)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(edges, edges[1:]):
-                part = batch.slice(lo, hi - lo)
-                if held and differs_from_previous(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), part.slice(0, 1)]), g)[0]:
-                    yield winners(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield winners(held)
-
-    def winners(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
+            table = joined(held, batch)
+            edges = [0, *(np.flatnonzero(differs_from_previous(table, g)) + 1).tolist()]
+            if len(edges) > 1:
+                yield from winners(table.slice(0, edges[-1]), edges)
+            held = table.slice(edges[-1])
+        if held is not None:
+            yield from winners(held, [0, held.num_rows])
+
+    def winners(table: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
         run, score_, item_ = (table.column(c).to_pylist() for c in ("run", "score", "item"))
-        runs_: dict[int, list[tuple]] = {}
-        for i, r in enumerate(run):
-            runs_.setdefault(r, []).append((_Descending(score_[i]), item_[i], i))
-        out, seen = [], set()
-        for _, name, i in LoserTree(runs_.values()):
-            if name not in seen:
-                seen.add(name)
-                out.append(i)
-                if len(out) == n:
-                    break
-        rows_ = table.select(heads.names).take(pa.array(out, pa.int64())).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(rows_.column(c).chunk(0) for c in heads.names), pa.array(range(1, len(out) + 1), pa.int32())], names=final.names)
-
+        out, places = [], []
+        for lo, hi in zip(edges, edges[1:]):
+            runs_: dict[int, list[tuple]] = {}
+            for i in range(lo, hi):
+                runs_.setdefault(run[i], []).append((-score_[i] if negated else _Descending(score_[i]), item_[i], i))
+            place, seen = 0, set()
+            for _, name, i in LoserTree(runs_.values()) if len(runs_) > 1 else runs_[run[lo]]:
+                if name not in seen:
+                    seen.add(name)
+                    place += 1
+                    out.append(i)
+                    places.append(place)
+                    if place == n:
+                        break
+        found = table.select(heads.names).take(pa.array(out, pa.int64())).append_column("place", pa.array(places, pa.int32()))
+        yield from in_batches(found)
+
+    negated = isinstance(base.schema["score"].dataType, T.NumericType)
     least = [*(F.col(a).asc_nulls_first() for a in g), F.col("run"), F.col("score").desc(), F.col("item").asc()]
     brought = runs.mapInArrow(cut, heads).withColumn("run", F.spark_partition_id()).repartition(*g).sortWithinPartitions(*least)
     out = brought.mapInArrow(merged, final)
