@@ -48,6 +48,10 @@ def _shapes() -> dict[int, str | None]:
     return table
 
 
+def _drawn(text: str) -> str:
+    return text.translate(_shapes())
+
+
 def visual_form(text: str) -> str:
     """The text with every character that is drawn like a usual one replaced by that one.
 
@@ -58,7 +62,7 @@ def visual_form(text: str) -> str:
         text = text.replace("\r\n", "\n")
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_shapes()))
+    return unicodedata.normalize("NFC", _drawn(unicodedata.normalize("NFD", text)))
 
 
 def canonical_form(text: str) -> str:
@@ -66,11 +70,15 @@ def canonical_form(text: str) -> str:
 
     Texts of equal visual form have equal canonical forms.
     """
-    text = visual_form(text)
-    if text.isascii():
-        return text.lower()
-    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-    return folded if folded.isascii() else unicodedata.normalize("NFC", folded.translate(_shapes()).casefold())
+    return _folded(visual_form(text))
+
+
+def _folded(visual: str) -> str:
+    """The canonical form of a text of this visual form."""
+    if visual.isascii():
+        return visual.lower()
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", visual).casefold())
+    return folded if folded.isascii() else unicodedata.normalize("NFC", _drawn(folded).casefold())
 
 
 def canonical_text(rows: DataFrame, text: str, out: str = "canonical") -> DataFrame:
@@ -102,7 +110,11 @@ def digests(rows: DataFrame, id: str, text: str) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column("text").dictionary_encode()
-            found = [(_digest(canonical_form(t)), _digest(visual_form(t)), _digest(t)) for t in coded.dictionary.to_pylist()]
+            found = []
+            for text_ in coded.dictionary.to_pylist():
+                seen = visual_form(text_)
+                own = _digest(text_)
+                found.append((_digest(_folded(seen)), own if seen == text_ else _digest(seen), own))
             columns = [pa.array([f[n] for f in found], pa.binary()).take(coded.indices) for n in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "canonical", "visual", "exact"])
 
