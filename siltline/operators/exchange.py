@@ -138,9 +138,28 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sequence_fingerprint(rows: DataFrame, id: str, order: Sequence[str]) -> DataFrame:
-    """SHA-256 of the ordered ids as a JSON array, in one row."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(id).cast("string").alias("_id")))), lambda x: x["_id"])
-    return rows.agg(F.sha2(F.to_json(ids), 256).alias("fingerprint"))
+    """SHA-256 of the ordered ids as a JSON array, in one row.
+
+    The sequence is one value, so one task reads it; it reads a sorted stream and keeps only the running hash.
+    """
+
+    def digest(batches):
+        import hashlib
+        import json
+
+        import pyarrow as pa
+
+        running, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                running.update((b"" if first else b",") + json.dumps(value, ensure_ascii=False).encode())
+                first = False
+        running.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([running.hexdigest()])], names=["fingerprint"])
+
+    places = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    ids = rows.select(F.col(id).cast("string").alias("_id"), *places).repartition(1).sortWithinPartitions(*(f"_o{i}" for i in range(len(order))))
+    return ids.select("_id").mapInArrow(digest, "fingerprint string")
 
 
 def schema_listing(rows: DataFrame) -> list[tuple[str, str, bool]]:

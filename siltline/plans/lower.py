@@ -206,18 +206,21 @@ class Lowering:
     # Sources
 
     def scan(self, entry: Entry, rows: DataFrame) -> Relation:
+        # Columns are taken by place, as Spark may not tell names apart that differ in case.
+        taken = {f.name: f"s{i}" for i, f in enumerate(rows.schema.fields)}
+        rows, declared = rows.toDF(*(f"s{i}" for i in range(len(rows.columns)))), rows.schema.fields
         fields, columns = [], []
-        for f in rows.schema.fields:
+        for f in declared:
             if f.name.startswith("_"):
                 continue
             name = fresh("c")
-            column, kind = k.read_as(F.col(f"`{f.name}`"), f.name, f.dataType, entry.kinds.get(f.name), f.name in entry.ordered)
+            column, kind = k.read_as(F.col(taken[f.name]), f.name, f.dataType, entry.kinds.get(f.name), f.name in entry.ordered)
             if f.name in k.ORDERED and isinstance(f.dataType, T.ArrayType):
                 column = F.array_sort(column)
             columns.append(column.alias(name))
             fields.append((f.name, name, kind))
         order = [(fresh("o"), self.reverse) for _ in entry.order or ("",)]
-        places = [F.col(f"`{c}`") for c in entry.order] or [F.monotonically_increasing_id()]
+        places = [F.col(taken[c]) for c in entry.order] or [F.monotonically_increasing_id()]
         df = rows.select(*columns, *(p.alias(o) for p, (o, _) in zip(places, order)))
         return Relation(df, tuple(Field(a, c, kind, df.schema[c].dataType) for a, c, kind in fields), tuple(order), not self.reverse)
 

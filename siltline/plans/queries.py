@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from siltline.functions.literals import Clock
 from siltline.operators import exchange
 from siltline.plans.engine import sql
-from siltline.sources.catalog import table_catalog
+from siltline.sources.catalog import Catalog, table_catalog
+from siltline.sources.records import media_records
+from siltline.sources.references import classify
 from siltline.sources.tables import read_table
 
 #: Relative dates refer to this time, so that results can be repeated.
@@ -139,32 +141,24 @@ def _query(name: str, oracle: str | None = None):
 
 @_query("predicate_only_default_id", "SELECT doc_id AS id FROM documents WHERE lang = 'en'")
 def _predicate_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltline.sources.catalog import Catalog
-
     documents = read_table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
     return sql("lang = 'en'", Catalog().register("documents", documents, ["id"], kinds={"id": "integer"}))
 
 
 @_query("typed_media_literals", "SELECT id FROM media_metadata WHERE duration_seconds BETWEEN 5400 AND 7200 OR duration_seconds < 90 OR duration_seconds = 3661")
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltline.sources.catalog import Catalog
-
     media = read_table(spark, sf_dir, "media_metadata").withColumnRenamed("duration_seconds", "duration")
     return sql("SELECT id FROM media WHERE duration BETWEEN 1h30m AND 2:00:00 OR duration < 90 s OR duration = '1 hour 1 minute 1 s'", Catalog().register("media", media))
 
 
 @_query("count_and_date_literals", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1996-02-29'")
 def _counts_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltline.sources.catalog import Catalog
-
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.ceil("o_totalprice").alias("view_count"), F.date_format("o_orderdate", "yyyyMMdd").alias("upload_date"))
     return sql("SELECT o_orderkey FROM orders WHERE views >= 150k AND date BETWEEN 1 March 1995 AND '29/02/1996'", Catalog().register("orders", orders, ["o_orderkey"]))
 
 
 @_query("structure_members", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE CAST(props->>'k' AS BIGINT) >= 90")
 def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltline.sources.catalog import Catalog
-
     events = read_table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("props"))
     return sql("SELECT event_id, props.k AS k FROM events WHERE props.k >= 90", Catalog().register("events", events, ["event_id"]))
 
@@ -217,3 +211,16 @@ def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "media_metadata").filter("extractor = 'youtube'").select("id", "title", "extractor")
     return exchange.collection_entries(rows, "id", ["title", "extractor"])
+
+
+@_query("source_references", """SELECT source_url, CASE WHEN NOT regexp_matches(source_url, '^https://tube.example/') THEN 'url' WHEN regexp_matches(source_url, '[?&]list=') THEN 'playlist' ELSE 'channel' END AS kind FROM (SELECT DISTINCT source_url FROM source_observations)""")
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = read_table(spark, sf_dir, "source_observations").select("source_url").distinct()
+    return sources.select("source_url", classify(F.col("source_url"), hosts=("tube.example",))["kind"].alias("kind"))
+
+
+@_query("cached_records")
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records of the cache, queried in place."""
+    media = media_records(read_table(spark, sf_dir, "metadata_records"))
+    return sql("SELECT id, title, CARDINALITY(tags) AS n, COUNT(formats AS f WHERE f.height >= 1080) AS large FROM media WHERE ANY(formats AS f WHERE f.ext = 'mp4' AND f.height > 720) OR duration > 1 day", Catalog().register("media", media))
