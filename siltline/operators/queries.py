@@ -16,8 +16,9 @@ ATTRIBUTES = ["title", "channel_id", "availability", "duration"]
 
 def record_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of the attributes of each video's metadata record."""
-    records = record_attributes(read_table(spark, sf_dir, "metadata_records"), ATTRIBUTES, ["video_id", "record_id"])
-    return version_history(records, ["video_id"], "at", ATTRIBUTES, ["record_id"])
+    table = read_table(spark, sf_dir, "metadata_records")
+    records = record_attributes(table, ATTRIBUTES, ["video_id", "record_id"])
+    return version_history(records, ["video_id"], "at", ATTRIBUTES, ["record_id"], keyed=table)
 
 
 def acquisition_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,19 @@ l AS (SELECT *, lag(ts_us) OVER w AS b, lag(outcome) OVER w AS bo, lag(last_succ
 v AS (SELECT * FROM l WHERE b IS NULL OR bo IS DISTINCT FROM outcome OR bl IS DISTINCT FROM last_success OR bf IS DISTINCT FROM failure_category)
 """
 
+_RECORDS = """
+r AS (
+  SELECT video_id, record_id, raw_json->>'title' AS title, raw_json->>'channel_id' AS channel_id, raw_json->>'availability' AS availability, TRY_CAST(raw_json->>'duration' AS DOUBLE) AS duration,
+    epoch_us(CASE WHEN regexp_matches(fetched_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN TRY_CAST(fetched_at AS TIMESTAMPTZ) ELSE TRY_CAST(fetched_at || '+00:00' AS TIMESTAMPTZ) END) AS ts_us
+  FROM metadata_records WHERE json_valid(raw_json) AND json_type(CASE WHEN json_valid(raw_json) THEN raw_json END) = 'OBJECT'),
+rl AS (SELECT *, lag(ts_us) OVER w AS b, lag(title) OVER w AS bt, lag(channel_id) OVER w AS bc, lag(availability) OVER w AS ba, lag(duration) OVER w AS bd FROM r WHERE ts_us IS NOT NULL
+  WINDOW w AS (PARTITION BY video_id ORDER BY ts_us, record_id)),
+rv AS (SELECT * FROM rl WHERE b IS NULL OR bt IS DISTINCT FROM title OR bc IS DISTINCT FROM channel_id OR ba IS DISTINCT FROM availability OR bd IS DISTINCT FROM duration)
+"""
+
 ORACLES = {
+    "p2_found": _STATES.rstrip() + "," + _RECORDS + """SELECT 'record' AS track, video_id, 'yt-dlp' AS provider_key, 'detailed' AS acquisition_group, CAST(ts_us // 1000000 AS BIGINT) AS valid_from FROM rv
+UNION ALL SELECT 'acquisition', video_id, provider_key, acquisition_group, CAST(ts_us // 1000000 AS BIGINT) FROM v""",
     "p2_acquisition_periods": _STATES
     + """SELECT video_id, provider_key, acquisition_group, outcome, CAST(last_success // 1000000 AS BIGINT) AS last_success, failure_category, CAST(ts_us // 1000000 AS BIGINT) AS valid_from,
   CAST(lead(ts_us) OVER (PARTITION BY video_id, provider_key, acquisition_group ORDER BY ts_us, outcome NULLS FIRST, last_success NULLS FIRST, failure_category NULLS FIRST) // 1000000 AS BIGINT) AS valid_to FROM v""",
