@@ -21,16 +21,12 @@ _DOTLESS = "\ue131"
 def casefold(column: Column) -> Column:
     """Full case folding, without leaving the JVM.
 
-    Upper and then lower case fold like Unicode's full folding but for two letters, which are mapped before,
+    ASCII text (as many bytes as characters) is only lowered. For other text, upper and then lower case fold like Unicode's full folding but for two letters, which are mapped before,
     and the sigma, which is lowered by itself: Java's lower case knows a final form and folding does not. (That
     also keeps the optimiser from dropping the upper case below the lower.)
     """
-    return F.lower(F.translate(F.upper(F.translate(column, "ẞı", "ß" + _DOTLESS)), "Σ", "σ"))
-
-
-def casefold_text(text: str) -> str:
-    """The same for a constant."""
-    return text.translate({ord("ẞ"): "ß", ord("ı"): _DOTLESS}).upper().replace("Σ", "σ").lower()
+    whole = F.lower(F.translate(F.upper(F.translate(column, "ẞı", "ß" + _DOTLESS)), "Σ", "σ"))
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(whole)
 
 
 def java_pattern(pattern: str) -> str | None:

@@ -15,7 +15,7 @@ from siltline.functions import kinds as k
 from siltline.functions import literals
 from siltline.functions.kinds import Kind
 from siltline.functions.literals import Clock, Infinity
-from siltline.functions.text import casefold, casefold_text, like_as_java, matches
+from siltline.functions.text import casefold, like_as_java, matches
 from siltline.plans import nodes as n
 from siltline.plans.errors import SemanticError
 
@@ -481,7 +481,7 @@ class Expressions:
             raise self.fail(f"{node.op} requires a text field.", node)
         c = c.cast("string")
         if node.op == "CONTAINS":
-            found = F.contains(casefold(c), F.lit(casefold_text(node.pattern)))
+            found = F.contains(casefold(c), casefold(F.lit(node.pattern)))
         elif node.op == "MATCHES":
             found = matches(c, node.pattern)
         elif node.op == "LIKE":

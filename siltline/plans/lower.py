@@ -51,6 +51,16 @@ def sort_columns(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
 
 
+def first_of(order: Sequence[str]) -> Column:
+    """The least place, as one value. One column stays a number, which aggregates by hashing."""
+    return F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+
+
+def places_of(column: str, order: Sequence[str]) -> list[Column]:
+    """The order columns of a least place."""
+    return [F.col(column).alias(order[0])] if len(order) == 1 else [F.col(column)[c].alias(c) for c in order]
+
+
 def fresh(prefix: str) -> str:
     return f"{prefix}{next(_ids)}"
 
@@ -163,9 +173,9 @@ class Lowering:
         """The first row of each distinct combination of fields."""
         keys = [f.column for f in found.fields if f.column not in besides]
         ord_ = [c for c, _ in found.order]
-        if found.plain:  # the least ordinal, with partial aggregation
-            first = found.df.groupBy(*keys).agg(F.min(F.struct(*ord_)).alias("_first"))
-            df = first.select(*keys, *(F.lit(0).cast("bigint").alias(c) for c in besides), *(F.col("_first")[c].alias(c) for c in ord_))
+        if found.plain and ord_:  # the least ordinal, with partial aggregation
+            first = found.df.groupBy(*keys).agg(first_of(ord_).alias("_first"))
+            df = first.select(*keys, *(F.lit(0).cast("bigint").alias(c) for c in besides), *places_of("_first", ord_))
         else:
             self.note("distinct", method="first row per key by the sort order")
             place = F.row_number().over(W.partitionBy(*keys).orderBy(*sort_columns(found.order)))
@@ -418,12 +428,17 @@ class Lowering:
             fields.append((output_name(t), name, kind, isinstance(t.expr, n.Call) and t.expr.name == "POSITION"))
         having = None if select.having is None else self.ex.predicate(select.having, inner)
         sort = [(self.ex.scalar(o.expr, inner)[0], fresh("k"), o.descending) for o in order]
-        df = base.df.groupBy(*(c.alias(name) for _, c, _, name in keys)).agg(F.min(at).alias("_first"), *computed, *extra) if keys else base.df.agg(F.min(at).alias("_first"), *computed, *extra)
+        ord_ = [c for c, _ in base.order]
+        wanted_first = first_of(ord_).alias("_first")
+        df = base.df.groupBy(*(c.alias(name) for _, c, _, name in keys)).agg(wanted_first, *computed, *extra) if keys else base.df.agg(wanted_first, *computed, *extra)
+        # Sorted by all of its keys, a group has no equals, and needs no place.
+        by = {repr(c) for c, _, _ in sort}
+        settled = bool(sort) and all(repr(F.col(name)) in by for _, _, _, name in keys)
         if having is not None:
             df = df.filter(having)
-        df = df.select(*columns, *(c.alias(name) for c, name, _ in sort), *(F.col("_first")[c].alias(c) for c, _ in base.order))
+        df = df.select(*columns, *(c.alias(name) for c, name, _ in sort), *([] if settled else places_of("_first", ord_)))
         typed = tuple(Field(a, c, kind, df.schema[c].dataType) for a, c, kind, _ in fields)
-        return Stage(df, typed, tuple((name, down) for _, name, down in sort), base.order, True, tuple(c for _, c, _, p in fields if p))
+        return Stage(df, typed, tuple((name, down) for _, name, down in sort), () if settled else base.order, True, tuple(c for _, c, _, p in fields if p))
 
     def aggregate(self, a: n.Aggregate, scope: Scope) -> tuple[Column, k.Kind]:
         kept = (lambda c: c) if a.where is None else (lambda c, p=self.ex.predicate(a.where, scope): F.when(p, c))
