@@ -38,7 +38,7 @@ def test_defined_cases(spark, hot_rows):
     assert found(df.limit(0), hot_rows=hot_rows) == []
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["p", "q", None]), st.one_of(st.none(), st.integers(0, 40)), st.sampled_from(["a", "b", None]), st.sampled_from([1, None]), st.integers(0, 3)), max_size=60), st.sampled_from([1, 100_000]))
 def test_like_brute_force(spark, rows, hot_rows):
     day = [(k, None if t is None else t * 3_600_000_000, a, b, o) for k, t, a, b, o in rows]

@@ -88,7 +88,7 @@ def test_flat_table(spark):
 json_values = st.recursive(st.one_of(st.none(), st.integers(0, 9), st.just("t")), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from(["a", "formats", "fragments", "replies", "chapters"]), x, max_size=3)), max_leaves=12)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.dictionaries(st.sampled_from([*ROOTS, "other"]), json_values, max_size=4), max_size=8), st.booleans())
 def test_like_brute_force(spark, records, wrapped):
     texts = [json.dumps({k: json.dumps(v) if wrapped else v for k, v in r.items()}) for r in records] or ["{}"]

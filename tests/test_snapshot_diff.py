@@ -55,7 +55,7 @@ def test_defined_cases(spark, options):
     assert found(df, snapshots=[1, 3], **options) == changes(ROWS, [1, 3])
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.dictionaries(st.tuples(st.integers(1, 4), st.sampled_from("abcdef"), st.sampled_from(["x", None])), st.one_of(st.none(), st.integers(0, 2)), max_size=40), st.sampled_from([1, 5, 20_000]))
 def test_like_brute_force(spark, cells, bucket_rows):
     rows = [(s, a, b, v) for (s, a, b), v in cells.items()]
