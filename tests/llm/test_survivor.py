@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.llm.survivor import align, closest, consensus, consensus_survivors, distance, tokens
+from siltline.llm import survivor
+from siltline.llm.survivor import align, closest, consensus, consensus_survivors, distance, fit, tokens
 
 BY = [("p", "desc"), ("t", "desc"), ("i", "asc")]
 SCHEMA = "k string, v string, p int, t timestamp, i bigint, w double"
@@ -44,6 +45,33 @@ def test_consensus_of_many():
     assert closest([None, "a", "a b"], [5, 1, 1]) == 0 and closest(["", "a"], [1, 3]) == 1
 
 
+def cheapest(columns, value):
+    table = [list(range(len(value) + 1))]
+    for c in columns:
+        row = [table[-1][0] + (None not in c)]
+        for j, y in enumerate(value, 1):
+            row.append(min(table[-1][j - 1] + (y not in c), table[-1][j] + (None not in c), row[-1] + 1))
+        table.append(row)
+    return table[-1][-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sets(st.sampled_from(["a", "b", "c", "d", None]), min_size=1), max_size=7), words, st.sampled_from([1_000_000, 4, 0]))
+def test_fit_to_columns(columns, value, cells):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(survivor, "ALIGN_CELLS", cells)
+        pairs = fit(columns, value)
+    assert [i for i, _ in pairs if i is not None] == list(range(len(columns))) and [j for _, j in pairs if j is not None] == list(range(len(value)))
+    assert sum(1 if i is None else None not in columns[i] if j is None else value[j] not in columns[i] for i, j in pairs) == cheapest(columns, value)
+
+
+def test_votes_for_an_inserted_token_add_up():
+    values = ["The Film", "The Old Film", "The Old Film !"]
+    assert consensus([tokens(v) for v in values], [5, 4, 4]) == ["The", "Old", "Film"] and closest(values, [5, 4, 4]) == 1
+    assert consensus([tokens(v) for v in ["a z", "a b z", "a c b z", "a b z !", "z"]], [4, 3, 1, 3, 1]) == ["a", "b", "z"]
+    assert consensus([tokens(v) for v in values], [9, 4, 4]) == ["The", "Film"] and consensus([tokens(v) for v in values], None) == ["The", "Film"]
+
+
 def test_long_values():
     a = [f"w{i}" for i in range(5_000)]
     b = a[:2_000] + ["new"] + a[2_010:]
