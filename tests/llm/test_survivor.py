@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -117,3 +118,18 @@ def test_a_group_with_a_third_of_all_rows(spark):
     assert found(df) == expected([(r.k, r.v, r.p, r.t, r.i, r.w) for r in df.collect()])
     weighted = consensus_survivors(df.filter("k = 'hot'"), ["k"], "v", BY, weight="w").collect()
     assert len(weighted) == 1 and weighted[0].v.startswith("common words ")
+
+
+def test_one_rule_at_every_size(spark):
+    rows, i = [], 0
+    for copies in (1, 150):  # copies are rows, not values
+        for k, v, p, w in [("tie", "Blue Sky", 2, 1.0), ("tie", "Blue Sun", 1, 1.0), ("old", "The Film", 3, 5.0), ("old", "The Old Film", 2, 4.0), ("old", "The Old Film !", 1, 4.0)]:
+            for _ in range(copies):
+                rows.append((f"{k}{copies}", v, p, T, i := i + 1, w / copies if k == "old" else w))
+    rng = random.Random(3)
+    rows += [(None if n % 40 == 0 else f"r{n % 40}", " ".join(rng.choices("abcdef", k=rng.randrange(6))), rng.randrange(3), T, 10_000 + n, float(rng.randrange(4))) for n in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = [sorted((tuple(r) for r in consensus_survivors(df, ["k"], "v", BY, weight="w", group_values=n).select("k", "i", "v").collect()), key=repr) for n in (256, 1, 4)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 44
+    survivors = {k: v for k, _, v in kept[0]}
+    assert survivors["tie1"] == survivors["tie150"] == "Blue Sky" and survivors["old1"] == survivors["old150"] == "The Old Film"
