@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,8 +14,10 @@ from siltline.operators.skew import key_hash
 
 #: Full containers that the items of a room would make; a room is packed by one task.
 ROOM_CONTAINERS = 256
-#: Fillings tried around a largest item, and nodes of the search in a room before the incumbent is taken.
+#: Greedy fillings tried first around a largest item, and nodes of the search in a room before the incumbent is taken.
 BRANCHES, NODES = 6, 4_000
+#: Steps of listing fillings for each of these nodes.
+STEPS = 50
 
 
 def lower_bound(sizes: Sequence[int], capacity: int) -> int:
@@ -60,28 +63,95 @@ class _Stock:
         return self.sizes[i - 1] if i else None
 
 
-def _completions(stock: _Stock, room: int, branches: int) -> list[list[int]]:
-    """Undominated fillings of the room beside a largest item: to none of them can an item be added.
+def _completions(stock: Mapping[int, int], room: int, branches: int, spare: int, steps: list[int]) -> Iterator[list[int]]:
+    """Undominated fillings of the room beside a largest item that leave at most ``spare`` empty, one by one.
 
-    Each starts with another size and goes on with the largest that fits; a filling without waste is taken
-    alone, as it dominates the rest.
+    ``stock`` has the counts of the sizes that fit, largest first. First come up to ``branches`` greedy fillings,
+    which each start with another size and go on with the largest that fits: those without waste as they are found,
+    then the rest by rising waste. Then all others follow, unless ``steps`` are used up. A filling is left out
+    only if another one dominates it.
     """
-    first = bisect_right(stock.sizes, room)
-    found: list[tuple[int, list[int]]] = []
-    for i in range(first - 1, max(-1, first - 1 - branches), -1):
-        size, left, filling = stock.sizes[i], room, []
-        while size is not None:
-            stock.take(size)
-            filling.append(size)
-            left -= size
-            size = stock.largest(left)
-        for s in filling:
-            stock.put(s)
+    sizes, counts = list(stock), list(stock.values())
+    if not sizes or sizes[0] == room:  # one item that fills the room has a place for what any other filling holds
+        if not sizes and room > spare:
+            return
+        yield sizes[:1]
+        return
+    fits = lambda left: bisect_left(sizes, -left, key=lambda s: -s)
+    tried: set[tuple[int, ...]] = set()
+    wasteful: list[tuple[int, tuple[int, ...]]] = []
+    for start, size in enumerate(sizes[:branches]):
+        left, filling = room - size, [size]
+        i = fits(left)
+        while i < len(sizes):
+            n = min(counts[i] - (i == start), left // sizes[i])
+            filling += [sizes[i]] * n
+            left -= sizes[i] * n
+            i = max(i + 1, fits(left))
+        found = tuple(sorted(filling, reverse=True))
+        if found in tried:
+            continue
+        tried.add(found)
         if not left:
-            return [filling]
-        found.append((left, filling))
-    found.sort(key=lambda f: f[0])
-    return [f for _, f in found] or [[]]
+            yield list(found)
+        elif left <= spare:
+            wasteful.append((left, found))
+    present = sum(1 << s for s in sizes)
+    for left, found in sorted(wasteful, key=lambda f: f[0]):
+        if not _dominated(found, left, stock, present):
+            yield list(found)
+    behind = [0]  # total size from a place on
+    for s, c in zip(sizes[::-1], counts[::-1]):
+        behind.append(behind[-1] + s * c)
+    behind.reverse()
+    chosen: list[int] = []
+    free = list(counts)
+    left, i = room, 0
+    while steps[0] > 0:
+        if left - behind[i] <= spare:
+            while (i := max(i, fits(left))) < len(sizes):
+                if free[i]:
+                    chosen.append(i)
+                    free[i] -= 1
+                    left -= sizes[i]
+                    steps[0] -= 1
+                else:
+                    i += 1
+            found = tuple(sizes[j] for j in chosen)
+            if left <= spare and found not in tried and not _dominated(found, left, stock, present):
+                yield list(found)
+        if not chosen:
+            return
+        i = chosen.pop()
+        free[i] += 1
+        left += sizes[i]
+        steps[0] -= 1
+        i += 1
+
+
+def _dominated(filling: Sequence[int], left: int, stock: Mapping[int, int], present: int) -> bool:
+    """Whether some items of a filling, or none, can give way to a larger item of the stock, or several to one as large.
+
+    Such an exchange leaves smaller items for the other containers (Martello and Toth). Sizes in stock
+    (``present``) and sums of items are sets as bits of whole numbers.
+    """
+    for s, n in Counter(filling).items():
+        if n == stock[s]:
+            present &= ~(1 << s)
+    none_or_one, several = 1, 0
+    for s in filling:
+        several |= several << s | (none_or_one & ~1) << s
+        none_or_one |= 1 << s
+    if several & present:
+        return True
+    reached, width = (none_or_one | several) << 1, 1  # sums and 1 to ``width`` more
+    if not left:
+        return False
+    while width < left:
+        more = min(width, left - width)
+        reached |= reached << more
+        width += more
+    return bool(reached & present)
 
 
 def best_fit(sizes: Sequence[int], capacity: int) -> list[list[int]]:
@@ -104,22 +174,25 @@ def pack(sizes: Sequence[int], capacity: int, branches: int = BRANCHES, nodes: i
     """Containers of sizes, none above ``capacity``; each size must be from 1 to ``capacity``.
 
     Bin completion: the best-fit solution is the first incumbent. A depth-first search fills one container
-    after the other around the largest item left, tries its fillings by rising waste, drops a branch whose
+    after the other around the largest item left, tries its undominated fillings, drops a branch whose
     waste cannot make it better than the incumbent, and ends at the lower bound or after ``nodes`` nodes.
+    Listing the fillings of all nodes takes at most ``STEPS`` times ``nodes`` steps.
     """
     best = best_fit(sizes, capacity)
     least = lower_bound(sizes, capacity)
     total = sum(sizes)
-    stock, path, visited = _Stock(sizes), [], 0
+    stock, path, visited, steps = _Stock(sizes), [], 0, [STEPS * nodes]
     if not sizes or len(best) <= least:
         return best
 
     def options() -> Iterator[list[int]]:
         size = stock.sizes[-1]
         stock.take(size)
-        fillings = _completions(stock, capacity - size, branches)
+        beside = {s: stock.count[s] for s in reversed(stock.sizes[: bisect_right(stock.sizes, capacity - size)])}
         stock.put(size)
-        return iter([[size, *f] for f in fillings])
+        # The incumbent less one container has this much room to spare.
+        spare = (len(best) - 1) * capacity - total - waste
+        return ([size, *f] for f in _completions(beside, capacity - size, branches, spare, steps))
 
     waste = 0
     frames = [options()]
@@ -135,7 +208,6 @@ def pack(sizes: Sequence[int], capacity: int, branches: int = BRANCHES, nodes: i
             continue
         visited += 1
         lost = waste + capacity - sum(filling)
-        # The incumbent less one container has this much room to spare.
         if lost > (len(best) - 1) * capacity - total:
             continue
         for s in filling:

@@ -1,13 +1,13 @@
 import random
 from collections import defaultdict
-from itertools import permutations
+from itertools import combinations, permutations
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.llm.packing import best_fit, lower_bound, pack, pack_items
+from siltline.llm.packing import _completions, best_fit, lower_bound, pack, pack_items
 
 sizes_ = st.lists(st.integers(1, 20), max_size=7)
 
@@ -45,6 +45,30 @@ def test_better_than_best_fit():
     assert gains > 0
 
 
+def test_other_fillings_stay_as_later_branches():
+    sizes = [10, 8, 8, 8, 6, 6, 5, 5, 4]
+    found = pack(sizes, 20)
+    assert len(found) == 3 and sorted(s for f in found for s in f) == sorted(sizes) and all(sum(f) <= 20 for f in found)
+
+
+def holds(a, b):
+    """Whether the items of b have places inside the items of a."""
+    if not b:
+        return True
+    return any(x >= b[0] and holds([*a[:i], x - b[0], *a[i + 1 :]], b[1:]) for i, x in enumerate(a))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(0, 14), st.sampled_from([0, 1, 6]))
+def test_every_filling_is_listed_or_dominated(items, room, branches):
+    stock = {s: items.count(s) for s in sorted(set(items), reverse=True) if s <= room}
+    listed = list(_completions(stock, room, branches, room, [10_000]))
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in combinations(items, n) if sum(c) <= room}
+    assert len({tuple(f) for f in listed}) == len(listed) and {tuple(f) for f in listed} <= every
+    assert all(any(holds(f, list(e)) for f in listed) for e in every)
+    assert all(sum(f) >= room - 2 for f in listed if f in list(_completions(stock, room, branches, 2, [10_000])))
+
+
 def check(df, items, specs, **options):
     rows = pack_items(df, "i", "size", specs, **options).collect()
     capacity = dict(specs)
