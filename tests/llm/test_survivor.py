@@ -80,6 +80,13 @@ def test_long_values():
     assert distance(["x"] * 3_000, ["y"] * 2_000) == 3_000
 
 
+def test_long_values_are_aligned_exactly():
+    a = [f"w{i}" for i in range(5_000)]
+    assert distance(["X", *a], [*a, "X"]) == 2 and distance(["X", *a, "y"] * 2, [*a, "X"] * 2) == 3
+    values = [" ".join(["X", *a]), " ".join(["z"] * 100 + a[100:]), " ".join([*a, "X"])]
+    assert closest(values, [1, 1, 3]) == 2
+
+
 def expected(rows):
     best = {}
     for k, v, p, t, i, _ in rows:
