@@ -36,15 +36,13 @@ class Node:
 
 
 def _unwrapped(value: object) -> object:
-    """A list or object that was delivered as JSON text is read; other text holds nothing."""
-    for _ in range(4):
-        if not isinstance(value, str):
-            return value
+    """A list or object that was delivered as JSON text, however often encoded, is read; other text holds nothing."""
+    while isinstance(value, str):  # each reading takes at least the quotes off, so this ends
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
             return None
-    return None if isinstance(value, str) else value
+    return value
 
 
 def _slots(value: object, nested: frozenset[str], keyed: bool, seen: dict[Path, None], path: Path) -> list:
@@ -192,7 +190,7 @@ def nested_rows(
     itself), and, with ``attributes``, ``attributes``: the object's other members as a map of texts, values
     that are not text as JSON.
 
-    Defined cases: a member may be a list, a single object (place 0), or either as JSON text; a null element
+    Defined cases: a member may be a list, a single object (place 0), or either as JSON text, encoded any number of times; a null element
     keeps its place and is no row; other elements are treated like null; text that is not one complete JSON
     object, or is nested deeper than the JSON reader goes (some thousand levels), has no rows; empty members have none; null ids are kept; clashing names of other columns do not
     matter; repeated records give repeated rows.

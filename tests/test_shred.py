@@ -99,3 +99,11 @@ def test_like_brute_force(spark, records, wrapped):
 def test_depth(spark, depth):
     text = '{"comments": ' + '{"replies": ' * depth + "1" + "}" * depth + "}"
     assert found(spark, [text, '{"formats": {}}'], attributes=False).count() >= 1
+
+
+def test_members_encoded_many_times(spark):
+    member = [{"a": 1, "chapters": [{"b": 2}]}, "no json"]
+    for _ in range(9):
+        member = json.dumps(member)
+    rows = found(spark, [json.dumps({"formats": member, "chapters": "\"\\\"text\\\"\""})]).select("member_path", "pos_path").collect()
+    assert sorted(map(tuple, rows)) == [("formats", "0"), ("formats.chapters", "0.0")]
