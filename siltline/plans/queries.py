@@ -209,7 +209,8 @@ def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("collection_document")
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "media_metadata").filter("extractor = 'youtube'").select("id", "title", "extractor")
+    """All media as entries; a row without an id ends the run, as a collection cannot hold it."""
+    rows = read_table(spark, sf_dir, "media_metadata").select("id", "title", "extractor")
     return exchange.collection_entries(rows, "id", ["title", "extractor"])
 
 

@@ -26,6 +26,12 @@ def test_runs(spark, data, name):
     assert df.columns and df.count() >= 0
 
 
+def test_the_collection_has_all_media(spark, data):
+    entries = dialect.QUERIES["collection_document"](spark, data).selectExpr("get_json_object(entry, '$.target') AS id")
+    media = spark.read.parquet(f"{data}/media_metadata.parquet").select("id")
+    assert entries.exceptAll(media).count() == 0 and media.exceptAll(entries).count() == 0
+
+
 def test_entry_without_the_optional_part():
     import __spark_entry__ as entry
 
