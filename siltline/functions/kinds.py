@@ -73,6 +73,11 @@ def kind_of_type(kind: T.DataType, name: str = "", ordered: bool = False) -> Kin
     return UNKNOWN
 
 
+def _whole(column: Column, kind: T.DataType) -> Column:
+    """As a whole number of 64 bits; null where it has more."""
+    return column.try_cast("bigint") if isinstance(kind, (T.DecimalType, T.FloatType, T.DoubleType)) else column.cast("bigint")
+
+
 def read_as(column: Column, name: str, kind: T.DataType, declared: str | None = None, ordered: bool = False) -> tuple[Column, Kind]:
     """A source column in the form that its kind has here, and the kind.
 
@@ -84,7 +89,10 @@ def read_as(column: Column, name: str, kind: T.DataType, declared: str | None =
     if wanted is None and by_type.name in ("string", "integer", "number"):
         wanted = "datetime" if low.endswith("_timestamp") else "date" if low.endswith("_date") else "count" if low.endswith(("_count", "_index")) else None
     if wanted is None or wanted == by_type.name:
-        return (column.cast("bigint"), by_type) if by_type.name == "integer" else (column.cast("double"), by_type) if by_type.name == "number" else (column, by_type)
+        if by_type.name == "integer":
+            return _whole(column, kind), by_type
+        # Decimals stay exact; other numbers are doubles.
+        return (column if by_type.name != "number" or isinstance(kind, T.DecimalType) else column.cast("double")), by_type
     if wanted == "date" and by_type.name == "string":
         return F.coalesce(F.try_to_date(column, "yyyyMMdd"), F.try_to_date(column, "yyyy-MM-dd")), DATE
     if wanted == "date" and by_type.name == "integer":
@@ -94,7 +102,7 @@ def read_as(column: Column, name: str, kind: T.DataType, declared: str | None =
     if wanted == "datetime" and by_type.name == "string":
         return F.timestamp_micros((column.try_cast("double") * 1_000_000).cast("bigint")), DATETIME
     if wanted in ("count", "duration", "integer") and by_type.numeric:
-        return column.cast("bigint"), Kind(wanted)
+        return _whole(column, kind), Kind(wanted)
     if wanted == "number" and by_type.numeric:
         return column.cast("double"), NUMBER
     if wanted == "string" and by_type.name in ("integer", "number", "boolean"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions.text import WHITE_SPACE, strip_white_space
 from siltline.operators.history import instant_column, record_attributes, value_text, version_history
-from siltline.operators.shred import flat_table, nested_rows
+from siltline.operators.shred import KEYED, NESTED, ROOTS, flat_table, nested_rows
 from siltline.operators.snapshot_diff import snapshot_changes
 from siltline.sources.tables import read_table
 
@@ -121,7 +121,42 @@ rl AS (SELECT *, lag(ts_us) OVER w AS b, lag(title) OVER w AS bt, lag(channel_id
 rv AS (SELECT * FROM rl WHERE b IS NULL OR bt IS DISTINCT FROM title OR bc IS DISTINCT FROM channel_id OR ba IS DISTINCT FROM availability OR bd IS DISTINCT FROM duration)
 """
 
+def _listed(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
+
+
+#: Members ('m') and slots ('s') of all records, read step by step: text is decoded, keyed members fall into keys, lists into slots, objects into members.
+_NESTED = f"""
+WITH RECURSIVE t AS (
+  SELECT record_id, 'm' AS kind, root AS member_path, '' AS pos_path, '' AS parent_path, '' AS parent_pos, json_extract(j, '$.' || root) AS v
+  FROM (SELECT record_id, CASE WHEN json_valid(raw_json) THEN CAST(raw_json AS JSON) END AS j FROM metadata_records) r, (SELECT unnest([{_listed(ROOTS)}]) AS root) n
+  WHERE json_type(j) = 'OBJECT' AND json_extract(j, '$.' || root) IS NOT NULL
+  UNION ALL
+  SELECT record_id, c.kind, c.path, c.pos, c.up_path, c.up_pos, c.v FROM (SELECT record_id, unnest(CASE
+    WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN [{{kind: kind, path: member_path, pos: pos_path, up_path: parent_path, up_pos: parent_pos, v: CAST(v->>'$' AS JSON)}}] ELSE [] END
+    WHEN kind = 'm' AND member_path IN ({_listed(KEYED)}) AND pos_path = '' AND json_type(v) = 'OBJECT' AND list_bool_and([json_type(v, '$."' || x || '"') <> 'VARCHAR' OR json_valid(json_extract_string(v, '$."' || x || '"')) FOR x IN json_keys(v)])
+      THEN [{{kind: 'm', path: member_path, pos: x, up_path: parent_path, up_pos: x, v: json_extract(v, '$."' || x || '"')}} FOR x IN json_keys(v)]
+    WHEN kind = 'm' AND json_type(v) = 'ARRAY'
+      THEN [{{kind: 's', path: member_path, pos: CASE WHEN pos_path = '' THEN '' ELSE pos_path || '.' END || i, up_path: parent_path, up_pos: parent_pos, v: json_extract(v, '$[' || i || ']')}} FOR i IN range(CAST(json_array_length(v) AS BIGINT))]
+    WHEN kind = 'm' AND json_type(v) = 'OBJECT' THEN [{{kind: 's', path: member_path, pos: CASE WHEN pos_path = '' THEN '' ELSE pos_path || '.' END || '0', up_path: parent_path, up_pos: parent_pos, v: v}}]
+    WHEN kind = 's' AND json_type(v) = 'OBJECT' THEN [{{kind: 'm', path: member_path || '.' || x, pos: pos_path, up_path: member_path, up_pos: pos_path, v: json_extract(v, '$.' || x)}} FOR x IN [{_listed(NESTED)}] IF json_extract(v, '$.' || x) IS NOT NULL]
+    ELSE [] END) AS c FROM t))
+"""
+_OBJECTS = " FROM t WHERE kind = 's' AND json_type(v) = 'OBJECT'"
+
 ORACLES = {
+    "p2_record_periods": "WITH" + _RECORDS
+    + """SELECT video_id, title, channel_id, availability, CASE WHEN duration = floor(duration) THEN CAST(CAST(duration AS BIGINT) AS VARCHAR) ELSE CAST(duration AS VARCHAR) END AS duration, CAST(ts_us // 1000000 AS BIGINT) AS valid_from,
+  CAST(lead(ts_us) OVER (PARTITION BY video_id ORDER BY ts_us, record_id) // 1000000 AS BIGINT) AS valid_to FROM rv""",
+    "p5_found": _NESTED + "SELECT record_id, member_path, pos_path" + _OBJECTS,
+    "p5_objects": _NESTED
+    + f"""SELECT record_id, member_path, pos_path, parent_path, parent_pos, CAST(to_json(map_from_entries([{{k: x, v: json_extract_string(v, '$."' || x || '"')}} FOR x IN list_sort(json_keys(v)) IF x NOT IN ({_listed(NESTED)})])) AS VARCHAR) AS attributes"""
+    + _OBJECTS,
+    "p5_formats": _NESTED
+    + """SELECT record_id, pos_path, parent_pos, v->>'format_id' AS format_id, v->>'ext' AS ext, TRY_CAST(v->>'width' AS BIGINT) AS width, TRY_CAST(v->>'height' AS BIGINT) AS height, TRY_CAST(v->>'fps' AS DOUBLE) AS fps,
+  v->>'vcodec' AS vcodec, v->>'acodec' AS acodec, TRY_CAST(v->>'tbr' AS DOUBLE) AS tbr, TRY_CAST(v->>'filesize' AS BIGINT) AS filesize"""
+    + _OBJECTS + " AND member_path = 'formats'",
+    "p5_comments": _NESTED + "SELECT record_id, pos_path, parent_pos, v->>'id' AS id, v->>'author' AS author, v->>'text' AS text" + _OBJECTS + " AND member_path = 'comments'",
     "p2_found": _STATES.rstrip() + "," + _RECORDS + """SELECT 'record' AS track, video_id, 'yt-dlp' AS provider_key, 'detailed' AS acquisition_group, CAST(ts_us // 1000000 AS BIGINT) AS valid_from FROM rv
 UNION ALL SELECT 'acquisition', video_id, provider_key, acquisition_group, CAST(ts_us // 1000000 AS BIGINT) FROM v""",
     "p2_acquisition_periods": _STATES

@@ -326,9 +326,10 @@ class Expressions:
             raise self.fail("The seed of RANDOM must be a constant whole number.", node)
         known = [f for _, r in scope.relations for f in r]
         identity = [f for f in known if f.name in ("extractor", "extractor_key", "webpage_url", "url", "id")] or known
-        parts = [x for f in identity for x in (F.lit(f.name), F.col(f.column))]
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed.value), *parts), 11)
-        return bits / F.lit(float(1 << 53)), k.NUMBER
+        # 52 bits of a digest of the seed and the row's identity; a separator that no name has stands before each part.
+        parts = [F.concat(F.lit(f"\x1f{f.name}="), F.coalesce(F.col(f.column).cast("string"), F.lit("\x1e"))) for f in identity]
+        bits = F.conv(F.substring(F.sha2(F.concat(F.lit(str(seed.value)), *parts), 256), 1, 13), 16, 10)
+        return bits.cast("double") / F.lit(float(1 << 52)), k.NUMBER
 
     def _fn_position(self, node: n.Call, scope: Scope) -> Typed:
         raise self.fail("POSITION() may only stand alone as a select term.", node)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -31,16 +32,30 @@ class Relation:
     """Rows with internal columns: fields, and columns that give the order.
 
     ``order``: (column, descending), nulls last. ``plain``: the order columns ascend and are never null, so
-    that the least of a set is its first.
+    that the least of a set is its first. ``open``: the rows come from one source without declared order, and
+    their places are not yet numbered (``order`` ends with the column that will hold them). Filters and
+    projections leave that order as it is, so rows are numbered behind them; a number below a filter would
+    keep it from the scan.
     """
 
     df: DataFrame
     fields: tuple[Field, ...]
     order: tuple[tuple[str, bool], ...]
     plain: bool
+    open: bool = False
+
+    def placed(self) -> Relation:
+        """The same with all order columns in place."""
+        if not self.open:
+            return self
+        return replace(self, df=self.df.withColumn(self.order[-1][0], F.monotonically_increasing_id()), open=False)
+
+    def places(self) -> list[str]:
+        """The order columns that are there."""
+        return [c for c, _ in (self.order[:-1] if self.open else self.order)]
 
     def sorted(self) -> DataFrame:
-        return self.df.orderBy(*sort_columns(self.order))
+        return self.placed().df.orderBy(*sort_columns(self.order))
 
     def named(self, ordered: bool) -> DataFrame:
         """The rows under the fields' names."""
@@ -75,6 +90,7 @@ class Stage:
     order: tuple[tuple[str, bool], ...]
     plain: bool
     numbered: tuple[str, ...] = ()  # outputs that are POSITION()
+    open: bool = False
 
 
 class Lowering:
@@ -129,12 +145,12 @@ class Lowering:
             column, _ = self.ex.scalar(o.expr, Scope([(None, found.fields)]))
             df = df.withColumn(name, column)
             keys.append((name, o.descending))
-        return self.slice(Relation(df, found.fields, (*keys, *found.order), found.plain and not keys), query)
+        return self.slice(Relation(df, found.fields, (*keys, *found.order), found.plain and not keys, found.open), query)
 
     def finish(self, stage: Stage, query: n.Query) -> Relation:
         select = query.branches[0]
         order = (*stage.keys, *stage.order)
-        found = Relation(stage.df, stage.fields, order, stage.plain and not stage.keys)
+        found = Relation(stage.df, stage.fields, order, stage.plain and not stage.keys, stage.open)
         if isinstance(select, n.Select) and select.distinct:
             found = self.unique(found, stage.numbered)
         if stage.numbered:
@@ -149,7 +165,7 @@ class Lowering:
             df = df.offset(query.offset)
         if query.limit is not None:
             df = df.limit(query.limit)
-        return replace(found, df=df)
+        return replace(found, df=df, open=False)
 
     def numbered(self, found: Relation, columns: Sequence[str], query: n.Query) -> Relation:
         """POSITION(): the row's place in the final order, counted before OFFSET and LIMIT."""
@@ -167,10 +183,11 @@ class Lowering:
             df = df.filter(F.col("_place") > query.offset)
         if last is not None:
             df = df.filter(F.col("_place") <= last)
-        return replace(found, df=df)
+        return replace(found, df=df, open=False)
 
     def unique(self, found: Relation, besides: Sequence[str]) -> Relation:
         """The first row of each distinct combination of fields."""
+        found = found.placed()
         keys = [f.column for f in found.fields if f.column not in besides]
         ord_ = [c for c, _ in found.order]
         if found.plain and ord_:  # the least ordinal, with partial aggregation
@@ -184,6 +201,7 @@ class Lowering:
 
     def union(self, parts: Sequence[Relation], query: n.Query) -> Relation:
         """The parts one after the other. Each part keeps order columns of its own, null elsewhere."""
+        parts = [p.placed() for p in parts]
         width = len(parts[0].fields)
         kinds = [f.kind for f in parts[0].fields]
         for p in parts[1:]:
@@ -215,10 +233,12 @@ class Lowering:
 
     # Sources
 
-    def scan(self, entry: Entry, rows: DataFrame) -> Relation:
+    def scan(self, entry: Entry, rows: DataFrame, extra: str | None = None) -> Relation:
+        """The rows of a source under internal names; ``extra``: a further column, kept under its own name."""
         # Columns are taken by place, as Spark may not tell names apart that differ in case.
-        taken = {f.name: f"s{i}" for i, f in enumerate(rows.schema.fields)}
-        rows, declared = rows.toDF(*(f"s{i}" for i in range(len(rows.columns)))), rows.schema.fields
+        kept = [F.col(extra)] if extra else []
+        taken = {f.name: f"s{i}" for i, f in enumerate(rows.schema.fields) if f.name != extra}
+        rows, declared = rows.toDF(*(taken.get(c, c) for c in rows.columns)), [f for f in rows.schema.fields if f.name != extra]
         fields, columns = [], []
         for f in declared:
             if f.name.startswith("_"):
@@ -230,15 +250,14 @@ class Lowering:
             columns.append(column.alias(name))
             fields.append((f.name, name, kind))
         order = [(fresh("o"), self.reverse) for _ in entry.order or ("",)]
-        places = [F.col(taken[c]) for c in entry.order] or [F.monotonically_increasing_id()]
-        df = rows.select(*columns, *(p.alias(o) for p, (o, _) in zip(places, order)))
-        return Relation(df, tuple(Field(a, c, kind, df.schema[c].dataType) for a, c, kind in fields), tuple(order), not self.reverse)
+        df = rows.select(*columns, *(F.col(taken[c]).alias(o) for c, (o, _) in zip(entry.order, order)), *kept)
+        return Relation(df, tuple(Field(a, c, kind, df.schema[c].dataType) for a, c, kind in fields), tuple(order), not self.reverse, not entry.order)
 
     def anew(self, found: Relation) -> Relation:
         """The same rows under other internal names, so that a relation can meet itself."""
         names = {c: fresh("c") for c in [*(f.column for f in found.fields), *(c for c, _ in found.order)]}
-        df = found.df.select(*(F.col(old).alias(new) for old, new in names.items()))
-        return Relation(df, tuple(replace(f, column=names[f.column]) for f in found.fields), tuple((names[c], d) for c, d in found.order), found.plain)
+        df = found.df.select(*(F.col(c).alias(names[c]) for c in [*(f.column for f in found.fields), *found.places()]))
+        return Relation(df, tuple(replace(f, column=names[f.column]) for f in found.fields), tuple((names[c], d) for c, d in found.order), found.plain, found.open)
 
     def operand(self, source: n.Source | None, facet: str | None) -> tuple[Relation, bool]:
         """A relation, and whether it exports exactly its columns (a CTE or a derived one)."""
@@ -269,6 +288,11 @@ class Lowering:
         facets = select.source.facets if select.source else ()
         if len(facets) < 2:
             return self.one_body(select, order, facets[0] if facets else None)
+        entry = self.catalog.find(select.source.name) if select.source.name else None
+        conditions = [entry.facets.get(f) for f in facets] if entry and not (select.source.name in self.ctes and not select.source.quoted) else []
+        if conditions and not select.join and all(isinstance(c, Column) for c in conditions) and (select.group or not self.aggregates(select, order)):
+            self.note("facets", method="one scan", facets=list(facets))
+            return self.one_body(select, order, None, conditions)
         stages = [self.one_body(select, order, f) for f in facets]
         parts = [Relation(s.df, (*s.fields, *(Field(c, c, k.UNKNOWN, T.NullType()) for c, _ in s.keys)), s.order, s.plain) for s in stages]
         parts = [replace(p, fields=tuple(replace(f, kind=k.Kind("structured")) if f.kind == k.UNKNOWN else f for f in p.fields)) for p in parts]
@@ -279,8 +303,21 @@ class Lowering:
         numbered = tuple(f.column for f, s in zip(fields, stages[0].fields) if s.column in stages[0].numbered)
         return Stage(merged.df, fields, keys, merged.order, merged.plain, numbered)
 
-    def one_body(self, select: n.Select, order: Sequence[n.Order], facet: str | None) -> Stage:
-        left, exported = self.operand(select.source, facet)
+    def aggregates(self, select: n.Select, order: Sequence[n.Order]) -> bool:
+        return bool(select.group) or select.having is not None or has_aggregate((tuple(t.expr for t in select.terms or ()), tuple(o.expr for o in order)))
+
+    def faceted(self, entry: Entry, conditions: Sequence[Column]) -> Relation:
+        """A source once per facet that a row belongs to, from one scan; the number of the facet is the first place."""
+        memberships = F.array_compact(F.array(*(F.when(c, F.lit(i)) for i, c in enumerate(conditions))))
+        rows = entry.rows.filter(reduce(lambda a, b: a | b, conditions)).withColumn("_facets", memberships)
+        found = self.scan(entry, rows, "_facets")
+        facet = fresh("o")
+        df = found.df.select("*", F.explode(F.col("_facets")).alias(facet)).drop("_facets")
+        # Behind explode the copies of a row stay in the order of the rows, so numbering still waits.
+        return replace(found, df=df, order=((facet, False), *found.order))
+
+    def one_body(self, select: n.Select, order: Sequence[n.Order], facet: str | None, conditions: Sequence[Column] = ()) -> Stage:
+        left, exported = (self.faceted(self.catalog.find(select.source.name), conditions), False) if conditions else self.operand(select.source, facet)
         relations: list[tuple[str | None, Sequence[Field]]] = [(_alias(select.source), left.fields)]
         base, shown, wildcard = left, list(relations), {"": (left, exported)}
         if _alias(select.source):
@@ -302,7 +339,7 @@ class Lowering:
             if isinstance(o.expr, n.Literal):
                 raise self.fail("ORDER BY takes fields and expressions, not places.", o)
         if select.group or select.having is not None or has_aggregate((tuple(t.expr for t in terms), tuple(o.expr for o in order))):
-            return self.grouped(select, replace(base, df=df), scope, terms, order, aliases)
+            return self.grouped(select, replace(base, df=df), scope, terms, order, aliases, base.order[0][0] if conditions else None)
         return self.project(replace(base, df=df), scope, terms, order, aliases)
 
     def join(self, select: n.Select, left: Relation, first: tuple, wildcard: dict) -> tuple[Relation, list]:
@@ -316,6 +353,10 @@ class Lowering:
         if has_aggregate(j.on) or any(isinstance(x, n.Call) and x.name == "RANDOM" for x in walk(j.on)):
             raise self.fail("ON cannot contain aggregates or RANDOM.", j)
         on = self.ex.predicate(j.on, Scope([first, (b, right.fields)], joined=True))
+        where, matched = _conjuncts(select.where) if select.where is not None else [], _conjuncts(j.on)
+        left = self.narrowed(left, first, where + (matched if j.kind in ("inner", "semi") else [])).placed()
+        right = self.narrowed(right, (b, right.fields), matched + (where if j.kind == "inner" else []))
+        right = right if j.kind in ("semi", "anti") else right.placed()
         df = left.df.join(right.df, on, _JOINS[j.kind])
         self.note("join", kind=j.kind, equalities=sum(isinstance(x, n.Compare) and x.op == "=" for x in _conjuncts(j.on)), strategy="chosen by the optimiser from sizes at run time")
         if j.kind in ("semi", "anti"):
@@ -323,6 +364,17 @@ class Lowering:
         wildcard[b] = (right, exported)
         return Relation(df, (*left.fields, *right.fields), (*left.order, *right.order), left.plain and right.plain), [first, (b, right.fields)]
 
+    def narrowed(self, side: Relation, named: tuple, conditions: Sequence[n.Node]) -> Relation:
+        """A side whose rows are not yet numbered, filtered by those conditions that speak of it alone."""
+        for c in conditions if side.open else ():
+            if has_aggregate(c) or any(isinstance(x, n.Call) and x.name in ("RANDOM", "POSITION") for x in walk(c)):
+                continue
+            try:
+                side = replace(side, df=side.df.filter(self.ex.predicate(c, Scope([named], joined=True))))
+            except SemanticError:  # it speaks of the other side too
+                continue
+        return side
+
     def expanded(self, select: n.Select, wildcard: Mapping[str, tuple[Relation, bool]]) -> list[n.Term]:
         """The select terms with wildcards written out; every output has a name of its own."""
         terms = select.terms if select.terms is not None else (n.Term(n.Name(("id",), at=select.at), at=select.at),)
@@ -381,11 +433,13 @@ class Lowering:
                 raise self.fail("A query cannot be ordered by POSITION().", o)
             column, kind = self.ex.scalar(o.expr, scope.with_(bound={**by_alias}))
             keys.append((column, fresh("k"), o.descending))
-        df = df.select(*columns, *(c.alias(name) for c, name, _ in keys), *(F.col(c) for c, _ in base.order))
+        df = df.select(*columns, *(c.alias(name) for c, name, _ in keys), *base.places())
         typed = tuple(Field(a, c, kind, df.schema[c].dataType) for a, c, kind in fields)
-        return Stage(df, typed, tuple((name, down) for _, name, down in keys), base.order, base.plain, tuple(numbered))
+        return Stage(df, typed, tuple((name, down) for _, name, down in keys), base.order, base.plain, tuple(numbered), base.open)
 
-    def grouped(self, select: n.Select, base: Relation, scope: Scope, terms: Sequence[n.Term], order: Sequence[n.Order], aliases: Mapping[str, n.Node]) -> Stage:
+    def grouped(self, select: n.Select, base: Relation, scope: Scope, terms: Sequence[n.Term], order: Sequence[n.Order], aliases: Mapping[str, n.Node], facet: str | None = None) -> Stage:
+        """``facet``: a column that all groups are formed within."""
+        base = base.placed()
         if not base.plain:  # a sorted relation: its order as one ordinal
             o = fresh("o")
             base = Relation(base.sorted().withColumn(o, F.monotonically_increasing_id()), base.fields, ((o, False),), True)
@@ -430,10 +484,11 @@ class Lowering:
         sort = [(self.ex.scalar(o.expr, inner)[0], fresh("k"), o.descending) for o in order]
         ord_ = [c for c, _ in base.order]
         wanted_first = first_of(ord_).alias("_first")
-        df = base.df.groupBy(*(c.alias(name) for _, c, _, name in keys)).agg(wanted_first, *computed, *extra) if keys else base.df.agg(wanted_first, *computed, *extra)
+        within = [facet] if facet else []
+        df = base.df.groupBy(*within, *(c.alias(name) for _, c, _, name in keys)).agg(wanted_first, *computed, *extra) if keys else base.df.agg(wanted_first, *computed, *extra)
         # Sorted by all of its keys, a group has no equals, and needs no place.
         by = {repr(c) for c, _, _ in sort}
-        settled = bool(sort) and all(repr(F.col(name)) in by for _, _, _, name in keys)
+        settled = bool(sort) and not facet and all(repr(F.col(name)) in by for _, _, _, name in keys)
         if having is not None:
             df = df.filter(having)
         df = df.select(*columns, *(c.alias(name) for c, name, _ in sort), *([] if settled else places_of("_first", ord_)))
