@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltline.operators.materialise import numbered_rows
 from siltline.operators.skew import broadcast_if_small
 
 
@@ -41,16 +43,40 @@ def as_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(text, F.lit("")).alias("value"))
 
 
+def _flat(rows: DataFrame) -> list[Column]:
+    """Columns as they stand in separated values: collections as JSON, times as ISO text."""
+    return [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else output_form(f.name, f.dataType).alias(f.name) for f in rows.schema.fields]
+
+
+#: How values are separated: null is empty, a quote is doubled.
+_SEPARATED = {"nullValue": "", "emptyValue": "", "escape": '"'}
+
+
+def as_separated(rows: DataFrame, separator: str) -> DataFrame:
+    """Each row as one text in ``value``, with the separator between the columns; without a header."""
+    # A table without texts may have columns of no type, which separated values do not take.
+    flat = [c.cast("string") if isinstance(f.dataType, T.NullType) else c for c, f in zip(_flat(rows), rows.schema.fields)]
+    return rows.select(F.to_csv(F.struct(*flat), {**_SEPARATED, "sep": separator}).alias("value"))
+
+
+def as_references(rows: DataFrame, form: str, prefix: str = "") -> DataFrame:
+    """Ids, or addresses made of a prefix and the id, in ``value``."""
+    return rows.select((F.col("id") if form == "ids" else F.concat(F.lit(prefix), "id")).alias("value"))
+
+
+def as_text(rows: DataFrame) -> DataFrame:
+    """Lines for one column, else JSON lines."""
+    return as_lines(rows) if len(rows.columns) == 1 else as_json_lines(rows)
+
+
 def write(rows: DataFrame, path: str, form: str = "auto", url_prefix: str = "") -> None:
     """Writes the rows, in their order, to a folder: lines, jsonl, csv, tsv, ids, urls or auto (lines for one column, else jsonl)."""
     if form == "auto":
         form = "lines" if len(rows.columns) == 1 else "jsonl"
     if form in ("ids", "urls"):
-        rows = rows.select((F.col("id") if form == "ids" else F.concat(F.lit(url_prefix), "id")).alias("value"))
-        form = "lines"
+        rows, form = as_references(rows, form, url_prefix), "lines"
     if form in ("csv", "tsv"):
-        flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else output_form(f.name, f.dataType).alias(f.name) for f in rows.schema.fields]
-        rows.select(*flat).write.csv(path, header=True, sep="," if form == "csv" else "\t", nullValue="", emptyValue="", lineSep="\n", escape='"')
+        rows.select(*_flat(rows)).write.options(**_SEPARATED).csv(path, header=True, sep="," if form == "csv" else "\t", lineSep="\n")
     elif form in ("lines", "jsonl"):
         (as_lines(rows) if form == "lines" else as_json_lines(rows)).write.text(path)
     else:
@@ -59,8 +85,13 @@ def write(rows: DataFrame, path: str, form: str = "auto", url_prefix: str = "")
 
 def archived_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of an archive file: the last word of each line; comments (#) and empty lines are skipped."""
-    words = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(F.element_at(words, -1).alias("id"))
+    return archived_words(spark.read.text(path))
+
+
+def archived_words(lines: DataFrame) -> DataFrame:
+    """The same for lines in a column ``value``."""
+    bare = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return lines.filter(~bare.startswith("#") & (bare != "")).select(F.element_at(F.split(bare, r"\s+"), -1).alias("id"))
 
 
 def without_archived(rows: DataFrame, archive: DataFrame, id: str) -> DataFrame:
@@ -123,12 +154,24 @@ def collection_entries(rows: DataFrame, id: str, metadata: Sequence[str]) -> Dat
     return rows.select(F.to_json(F.struct(checked.alias("target"), F.struct(*metadata).alias("metadata"))).alias("entry"))
 
 
-def collection_document(rows: DataFrame, id: str, metadata: Sequence[str], playlist: Mapping[str, str], order: Sequence[str], schema: str = "media-collection", version: int = 1) -> str:
-    """The whole document as text, with its entries in order. It is one document, so it is put together by the caller's process."""
-    import json
+def collection_lines(rows: DataFrame, id: str, metadata: Sequence[str], playlist: Mapping[str, str], order: Sequence[str], schema: str = "media-collection", version: int = 1) -> DataFrame:
+    """The whole document as numbered lines: ``place`` (the head is -1) and ``value``; put together in their order they are one JSON text.
 
-    entries = [json.loads(r["entry"]) for r in collection_entries(rows.orderBy(*order), id, metadata).toLocalIterator()]
-    return json.dumps({"schema": schema, "version": version, "collection": {"type": "playlist", "metadata": dict(playlist)}, "entries": entries}, ensure_ascii=False)
+    The rows are sorted by ranges and numbered behind the ranges before them, so that no task or driver holds
+    more than its range. Every row needs a non-empty id.
+    """
+    head = json.dumps({"schema": schema, "version": version, "collection": {"type": "playlist", "metadata": dict(playlist)}, "entries": []}, ensure_ascii=False, separators=(",", ":"))
+    spark = rows.sparkSession
+    entries = collection_entries(rows.orderBy(*order), id, metadata)
+    placed = numbered_rows(entries, "place").select((F.col("place") - 1).alias("place"), F.concat(F.when(F.col("place") == 1, "").otherwise(","), "entry").alias("value"))
+    first = spark.createDataFrame([(-1, head[:-2])], "place bigint, value string")
+    last = rows.agg(F.count(F.lit(1)).alias("place")).select("place", F.lit("]}").alias("value"))
+    return first.unionByName(placed).unionByName(last)
+
+
+def write_collection(rows: DataFrame, path: str, id: str, metadata: Sequence[str], playlist: Mapping[str, str], order: Sequence[str], **head) -> None:
+    """Writes the document to a folder of text files, which are the document in the order of their names."""
+    collection_lines(rows, id, metadata, playlist, order, **head).orderBy("place").select("value").write.text(path)
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from siltline.functions import kinds as k
 from siltline.functions.literals import Clock
-from siltline.operators.materialise import materialise
+from siltline.operators.materialise import materialise, numbered_rows
 from siltline.plans import nodes as n
 from siltline.plans.errors import SemanticError
 from siltline.plans.expressions import _SPARK, Expressions, Field, Scope, has_aggregate, walk
@@ -174,9 +174,7 @@ class Lowering:
             df = found.sorted().limit(last).withColumn("_place", F.row_number().over(W.orderBy(*sort_columns(found.order))))
         else:  # sorted by ranges; each partition is numbered behind the ones before it
             self.note("materialise", reason="POSITION() over all rows")
-            df = materialise(found.sorted().withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
-            sizes = df.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-            df = df.join(F.broadcast(sizes), "_part").withColumn("_place", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1)
+            df = numbered_rows(found.sorted(), "_place")
         for c in columns:
             df = df.withColumn(c, F.col("_place").cast("bigint"))
         if query.offset:

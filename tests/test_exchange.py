@@ -64,7 +64,7 @@ def test_append(spark, tmp_path):
 
 def test_collection(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b", None), (1, "a", "T")], "n int, id string, title string")
-    document = exchange.collection_document(rows, "id", ["title"], {"title": "P"}, ["n"])
+    document = "".join(r.value for r in exchange.collection_lines(rows, "id", ["title"], {"title": "P"}, ["n"]).orderBy("place").collect())
     assert json.loads(document)["entries"] == [{"target": "a", "metadata": {"title": "T"}}, {"target": "b", "metadata": {}}]
     (tmp_path / "d.json").write_text(document)
     assert [(r.place, r.target) for r in exchange.read_collection(spark, str(tmp_path / "d.json")).collect()] == [(0, "a"), (1, "b")]

@@ -27,7 +27,7 @@ def test_runs(spark, data, name):
 
 
 def test_the_collection_has_all_media(spark, data):
-    entries = dialect.QUERIES["collection_document"](spark, data).selectExpr("get_json_object(entry, '$.target') AS id")
+    entries = dialect.QUERIES["collection_document"](spark, data).filter("value LIKE '%\"target\":%'").selectExpr("get_json_object(ltrim(',', value), '$.target') AS id")
     media = spark.read.parquet(f"{data}/media_metadata.parquet").select("id")
     assert entries.exceptAll(media).count() == 0 and media.exceptAll(entries).count() == 0
 
