@@ -1,48 +1,120 @@
-"""History of changing entity attributes, built by merging key-sorted snapshot runs."""
+"""History of changing entity attributes, by merging co-partitioned, key-sorted snapshots."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltline.operators.arrow import differs_from_previous, in_batches, joined
-from siltline.operators.skew import HOT_ROWS, HOT_SHARE, hot_key_hashes, key_hash, split_hot
-
-#: Rows of a hot key are first merged within runs of this many days.
-RUN_DAYS = 1
-
-
-def version_history(
-    rows: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    payload: Sequence[str],
-    order: Sequence[str] = (),
-    hot_share: float = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
-    keyed: DataFrame | None = None,
-) -> DataFrame:
-    """Every version of every entity, with the period in which it held.
+from siltline.operators.runs import RANGE_ROWS, ROW_GROUP, RUNS, Run, first_not_below, items_of, key_at, merge_blocks, merge_ranges, partitions, run_folder, spread_by_run, write_runs
+from siltline.operators.skew import key_hash
+
+_DAY = 86_400_000_000
+
+
+class Layout:
+    """How snapshots are stored: by bucket of the entity, sorted by entity, time, order and payload."""
+
+    def __init__(self, keys: Sequence[str], time: str, payload: Sequence[str], order: Sequence[str] = ()) -> None:
+        self.names = (list(keys), time, list(payload), list(order))
+        self.k, self.p, self.o = ([f"{letter}{i}" for i in range(len(names))] for letter, names in (("k", keys), ("p", payload), ("o", order)))
+        self.sort = [*self.k, "t", *self.o, *self.p]
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """The columns that count, under short names; rows without a time tell nothing."""
+        keys, time, payload, order = self.names
+        pairs = [*zip(keys, self.k), (time, "t"), *zip(payload, self.p), *zip(order, self.o)]
+        return rows.filter(F.col(time).isNotNull()).select(*(F.col(c).alias(a) for c, a in pairs))
+
+    def stored(self, rows: DataFrame, run: Column, folder: str, buckets: int, row_group: int = ROW_GROUP) -> DataFrame:
+        """The manifest of taken rows, stored as runs: each snapshot sorted by itself, all cut into the same buckets."""
+        placed = rows.withColumns({"bucket": F.pmod(key_hash(self.k), F.lit(buckets)), "run": run.cast("bigint")})
+        return write_runs(spread_by_run(placed, buckets, self.sort), folder, self.sort, row_group=row_group)
+
+    def versions(self, manifest: DataFrame, kinds: T.StructType, range_rows: int = RANGE_ROWS) -> DataFrame:
+        """The merge of all runs that a manifest names."""
+        keys, _, payload, _ = self.names
+        moment = kinds["t"].dataType
+        schema = T.StructType([*(T.StructField(c, kinds[c].dataType) for c in [*self.k, *self.p]), T.StructField("valid_from", moment), T.StructField("valid_to", moment)])
+        sort, layout, names = self.sort, self, schema.names
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for files, lo, hi in items_of(batches):
+                opened = [Run(path, marks, sort).since(lo) for path, marks in files]
+                before = max((row for row, _ in opened if row is not None), key=lambda row: key_at(row, 0, sort), default=None)
+                yield from layout.stream(merge_blocks((rest for _, rest in opened), sort), before, hi, names)
+
+        out = merge_ranges(manifest, partitions(manifest.sparkSession), range_rows).mapInArrow(merge, schema)
+        return out.select(*(F.col(a).alias(c) for a, c in zip(self.k, keys)), *(F.col(a).alias(c) for a, c in zip(self.p, payload)), "valid_from", "valid_to")
+
+    def stream(self, blocks: Iterator[pa.Table], before: pa.Table | None, hi: tuple | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Versions that start in a range of the merged rows. ``before``: the row before the range; ``hi``: where it ends.
+
+        Behind the range it reads on only until the row that closes the last version.
+        """
+        last, open_ = before, None
+        for block in blocks:
+            inside, behind = block, None
+            if hi is not None and key_at(block, block.num_rows - 1, self.sort) >= hi:
+                n = first_not_below(block, hi, self.sort)
+                inside, behind = block.slice(0, n), block.slice(n)
+            if inside.num_rows:
+                starts = self.changes(last, inside)
+                last = inside.slice(inside.num_rows - 1)
+                if starts.num_rows:
+                    if open_ is not None:
+                        starts = pa.concat_tables([open_, starts]).combine_chunks()
+                    yield from self.closed(starts, False, names)
+                    open_ = starts.slice(starts.num_rows - 1)
+            if behind is not None and behind.num_rows:
+                if open_ is None:
+                    return
+                if (closing := self.changes(last, behind).slice(0, 1)).num_rows:
+                    yield from self.closed(pa.concat_tables([open_, closing]).combine_chunks(), False, names)
+                    return
+        if open_ is not None:
+            yield from self.closed(open_, True, names)
+
+    def changes(self, last: pa.Table | None, rows: pa.Table) -> pa.Table:
+        """The rows whose entity or payload is not that of the row before."""
+        if last is None:
+            return rows.filter(pa.array(np.append(True, differs_from_previous(rows, [*self.k, *self.p]))))
+        return rows.filter(pa.array(differs_from_previous(pa.concat_tables([last, rows]).combine_chunks(), [*self.k, *self.p])))
+
+    def closed(self, starts: pa.Table, final: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Versions with their ends; the last one only where nothing can follow."""
+        other = differs_from_previous(starts, self.k)
+        t = starts.column("t").combine_chunks()
+        t = t.chunk(0) if isinstance(t, pa.ChunkedArray) else t
+        ends = pa.concat_arrays([t.slice(1), pa.nulls(1, t.type)])
+        ends = pc.if_else(pa.array(np.append(other, True)), pa.scalar(None, t.type), ends)
+        table = starts.append_column("valid_to", ends).rename_columns([*("valid_from" if c == "t" else c for c in starts.column_names), "valid_to"])
+        yield from in_batches(table.select(names).slice(0, starts.num_rows - (not final)))
+
 
-    ``rows`` may be a union of any number of snapshots or updates. Each snapshot is partitioned by the
-    entity and sorted by entity and time; the shuffle's sorted runs are merged (Spark's external sorter is
-    the k-way merge), and one iterator per partition emits a version when the payload changes and closes it
-    when the next one starts. Only the last row is kept, never a history.
+def version_history(rows: DataFrame | Sequence[DataFrame], keys: Sequence[str], time: str, payload: Sequence[str], order: Sequence[str] = (), range_rows: int = RANGE_ROWS, row_group: int = ROW_GROUP) -> DataFrame:
+    """Every version of every entity, with the period in which it held.
 
-    A hot entity is first merged by itself in runs of ``RUN_DAYS`` days, many tasks at once; the version
-    starts of these runs, which are fewer, are then merged a second time.
+    ``rows``: the snapshots or updates, each a frame; or one frame, whose rows of one day (in UTC) are then
+    taken as a snapshot. Each snapshot is cut into the same buckets by entity, and sorted by entity and time, as
+    a run of its own (days that are ``RUNS`` apart share one). Per bucket a merge iterates over all runs at
+    once and emits a version when the payload changes, closed when the next one starts. What is kept is a
+    block of each run and the last row, never a history.
 
-    ``keyed``: rows with the same keys that cost less to read, to find hot entities in.
+    All is one plan with one scan of each frame. A bucket of more than ``range_rows`` rows is merged by several
+    tasks, each from a place in the sort order on, so that one entity may hold any share of the rows: its rows
+    are stored by as many tasks as there are runs, and merged by as many as there are ranges.
 
-    ``time`` is a timestamp, a date, or a bigint of microseconds.
+    ``time`` is a timestamp, a date, or a bigint of microseconds. The payload has values of simple types.
 
     Returns the keys, the payload, ``valid_from`` and ``valid_to`` (both of the type of ``time``;
     ``valid_to`` is exclusive and null for the version that still holds).
@@ -53,68 +125,39 @@ def version_history(
     them may get a period of no length; late rows count where their time puts them; other columns of
     ``rows`` are ignored, also one named valid_from or valid_to; an empty table has no versions.
     """
-    keys, payload, order = list(keys), list(payload), list(order)
-    kept = rows.filter(F.col(time).isNotNull()).select(
-        *(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)),
-        F.col(time).alias("t"),
-        *(F.col(c).alias(f"p{i}") for i, c in enumerate(payload)),
-        *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)),
-    )
-    k, p, o = [f"k{i}" for i in range(len(keys))], [f"p{i}" for i in range(len(payload))], [f"o{i}" for i in range(len(order))]
-    source = kept if keyed is None else keyed.select(*(F.col(c).alias(a) for a, c in zip(k, keys)))
-    hot, _ = hot_key_hashes(source, k, hot_share, hot_rows)
-    cold, busy = split_hot(kept, k, hot)
-    out = _merged(cold, k, p, o, key_hash(k))
-    if busy is not None:
-        micros = F.col("t") if dict(kept.dtypes)["t"] == "bigint" else F.unix_micros(F.col("t").cast("timestamp"))
-        run = F.floor(micros / (RUN_DAYS * 86_400_000_000))
-        starts = _merged(busy, k, p, o, key_hash(k), run, keep_order=True).drop("valid_to").withColumnRenamed("valid_from", "t")
-        out = out.unionByName(_merged(starts, k, p, o, key_hash(k)))
-    return out.select(*(F.col(a).alias(c) for a, c in zip(k, keys)), *(F.col(a).alias(c) for a, c in zip(p, payload)), "valid_from", "valid_to")
-
-
-def _merged(df: DataFrame, k: list[str], p: list[str], o: list[str], *parts, keep_order: bool = False) -> DataFrame:
-    """One merge: partition by ``parts``, sort, stream. A run's first row of an entity always starts a version."""
-    kinds = df.schema
-    fields = [kinds[c] for c in k + p + (o if keep_order else [])]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("valid_from", kinds["t"].dataType), T.StructField("valid_to", kinds["t"].dataType)])
-    names, by_run = schema.names, len(parts) > 1
-    sorted_ = df.withColumn("r", parts[-1].cast("string") if by_run else F.lit("")).repartition(*parts).sortWithinPartitions(*k, "r" if by_run else "t", "t", *o, *p)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.Table | None = None  # the row before the batch
-        open_: pa.Table | None = None  # the version that is not yet closed
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = joined(last, batch)
-            changed = differs_from_previous(table, [*k, "r", *p])
-            if last is None:
-                changed = np.concatenate([[True], changed])
-                starts = table.filter(pa.array(changed))
-            else:
-                starts = table.slice(1).filter(pa.array(changed))
-            last = table.slice(table.num_rows - 1)
-            if not starts.num_rows:
-                continue
-            if open_ is not None:
-                starts = pa.concat_tables([open_, starts]).combine_chunks()
-            yield from closed(starts, False)
-            open_ = starts.slice(starts.num_rows - 1)
-        if open_ is not None:
-            yield from closed(open_, True)
-
-    def closed(starts: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
-        """Versions with their ends; the last one only where nothing can follow."""
-        n = starts.num_rows
-        other = differs_from_previous(starts, k)
-        t = starts.column("t").combine_chunks()
-        ends = pa.concat_arrays([t.slice(1), pa.nulls(1, t.type)])
-        ends = pc.if_else(pa.array(np.concatenate([other, [True]])), pa.scalar(None, t.type), ends)
-        table = starts.append_column("valid_to", ends).rename_columns([*("valid_from" if c == "t" else c for c in starts.column_names), "valid_to"])
-        yield from in_batches(table.select(names).slice(0, n if final else n - 1))
-
-    return sorted_.mapInArrow(stream, schema)
+    layout = Layout(keys, time, payload, order)
+    if isinstance(rows, DataFrame):
+        taken = layout.taken(rows)
+        micros = F.col("t") if dict(taken.dtypes)["t"] == "bigint" else F.unix_micros(F.col("t").cast("timestamp"))
+        run = F.pmod(F.floor(micros / _DAY), F.lit(RUNS))
+    else:
+        taken = None
+        for number, part in enumerate(rows):
+            one = layout.taken(part).withColumn("_snapshot", F.lit(number % RUNS))
+            taken = one if taken is None else taken.unionByName(one)
+        run = F.col("_snapshot")
+    spark = taken.sparkSession
+    kinds = taken.drop("_snapshot").schema
+    manifest = layout.stored(taken, run, run_folder(spark), partitions(spark), row_group)
+    return layout.versions(manifest, kinds, range_rows)
+
+
+class SnapshotStore:
+    """Snapshots kept as sorted runs in a folder: another one is added without touching or sorting the others again."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], time: str, payload: Sequence[str], order: Sequence[str] = (), buckets: int = 64) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.layout = Layout(keys, time, payload, order)
+
+    def add(self, snapshot: DataFrame) -> None:
+        """Sorts and stores one snapshot."""
+        taken = self.layout.taken(snapshot)
+        self.kinds = taken.schema
+        self.layout.stored(taken, F.lit(uuid4().int & 0x7FFFFFFF), f"{self.folder}/runs", self.buckets).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def versions(self) -> DataFrame:
+        """The history of all snapshots added so far."""
+        return self.layout.versions(self.spark.read.parquet(f"{self.folder}/manifest"), self.kinds)
 
 
 def instant_from_text(text: str | None) -> int | None:
