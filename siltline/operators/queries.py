@@ -11,6 +11,8 @@ from siltline.operators.shred import KEYED, NESTED, ROOTS, flat_table, nested_ro
 from siltline.operators.snapshot_diff import snapshot_changes
 from siltline.sources.tables import read_table
 
+#: The numbers of the snapshots that the tables consist of.
+SNAPSHOTS = (1, 2, 3, 4)
 ATTRIBUTES = ["title", "channel_id", "availability", "duration"]
 
 
@@ -49,14 +51,14 @@ def p2_acquisition_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed videos that came or went between each snapshot and the one before."""
     entries = read_table(spark, sf_dir, "source_entries").select("snapshot_no", "source_url", strip_white_space("video_id").alias("video_id"))
-    return snapshot_changes(entries, "snapshot_no", ["source_url", "video_id"])
+    return snapshot_changes(entries, "snapshot_no", ["source_url", "video_id"], snapshots=SNAPSHOTS)
 
 
 def observation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that came, went or changed; of several rows in a snapshot the latest counts, then the fullest."""
     latest = F.max(F.struct(F.col("last_observed_at").isNotNull().alias("known"), "last_observed_at", F.col("observed_entries").isNotNull().alias("counted"), "observed_entries"))
     one = read_table(spark, sf_dir, "source_observations").groupBy("snapshot_no", "source_url").agg(latest.alias("x")).select("snapshot_no", "source_url", "x.last_observed_at", "x.observed_entries")
-    return snapshot_changes(one, "snapshot_no", ["source_url"], ["last_observed_at", "observed_entries"])
+    return snapshot_changes(one, "snapshot_no", ["source_url"], ["last_observed_at", "observed_entries"], snapshots=SNAPSHOTS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

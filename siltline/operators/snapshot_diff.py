@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltline.operators.skew import HOT_ROWS, HOT_SHARE, hot_key_hashes, key_hash, split_hot
+from siltline.operators.arrow import differs_from_previous, joined
+from siltline.operators.skew import key_hash
 
-#: Rows of all snapshots that a hash bucket is meant to hold.
+#: Keys that a hash bucket is meant to hold.
 BUCKET_ROWS = 20_000
+#: Snapshots that are compared in one pass; each is a column of the rows that are added up.
+WINDOW = 64
 #: Cells of a first table per row of the larger snapshot, and how often it is enlarged fourfold.
 FIRST_CELLS, ENLARGE = 0.4, 6
 _HASHES = 3
@@ -107,120 +110,79 @@ def changed_hashes(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np
     return new[0][~np.isin(a, b)], old[0][~np.isin(b, a)]
 
 
-def snapshot_changes(
-    rows: DataFrame,
-    snapshot: str,
-    keys: Sequence[str],
-    payload: Sequence[str] = (),
-    snapshots: Sequence[int] | None = None,
-    bucket_rows: int = BUCKET_ROWS,
-    first_cells: float = FIRST_CELLS,
-    hot_share: float = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def snapshot_changes(rows: DataFrame, snapshot: str, keys: Sequence[str], payload: Sequence[str] = (), snapshots: Sequence[int] | None = None, bucket_rows: int = BUCKET_ROWS, first_cells: float = FIRST_CELLS) -> DataFrame:
     """Keys added, removed or changed between each snapshot and the one before it.
 
-    The rows of all snapshots are partitioned once, by a hash bucket of the key. Each bucket folds every
-    snapshot into an invertible Bloom lookup table of (key hash, payload hash), subtracts neighbours, peels
-    the pairs that differ, enlarges the table where that fails, verifies the digest, and classifies the
-    recovered keys: in both sides is 'changed', else 'added' or 'removed'. The texts of equal rows are never
-    compared or even decoded. A key's copies are merged before the shuffle if they are a hot share.
+    The rows are added up by key, on the map side first, to one row per key that holds the payload hash of each
+    snapshot; so copies of a key, however many, go before anything is shuffled. A task cuts its rows, in order of
+    the key hash, into buckets of ``bucket_rows``. Each bucket folds every snapshot into an invertible Bloom
+    lookup table of (key hash, payload hash), subtracts neighbours, peels the pairs that differ, enlarges the
+    table where that fails, verifies the digest, and classifies the recovered keys: in both sides is
+    'changed', else 'added' or 'removed'. Keys of equal rows are never compared or even decoded.
 
-    ``snapshots``: the numbers to compare, in order; by default all that occur. Returns the snapshot
-    number, the keys and ``change_kind``.
+    ``snapshots``: the numbers to compare, in order; by default all that occur, which takes a job of its own over
+    that one column. Above ``WINDOW`` numbers, windows of them that overlap by one are compared one by one.
+    Returns the snapshot number, the keys and ``change_kind``.
 
     Defined cases: null is a key value and a payload value like any other; a repeated key in a snapshot
     counts once, with the greatest payload hash where payloads differ (reduce them before, if another one
     should count); rows without a snapshot number belong to none and are left out; a snapshot that occurs
-    but lacks a key removes it; other columns are ignored; an empty table has no changes. Keys that share a
-    64-bit hash within a bucket are found out and that bucket is compared by the keys themselves.
+    but lacks a key removes it; other columns are ignored; an empty table has no changes. In a bucket where
+    keys share a 64-bit hash, the columns are compared themselves.
     """
     keys, payload = list(keys), list(payload)
     k = [f"k{i}" for i in range(len(keys))]
     base = rows.select(F.col(snapshot).cast("long").alias("s"), *(F.col(c).alias(a) for a, c in zip(k, keys)), (key_hash(payload) if payload else F.lit(0).cast("long")).alias("p"))
-    hot, seen = hot_key_hashes(base, k, hot_share, hot_rows, F.count(F.lit(1)).alias("rows"), F.collect_set("s").alias("numbers"))
-    numbers = sorted(seen["numbers"]) if snapshots is None else list(snapshots)
-    cold, busy = split_hot(base.filter(F.col("s").isin(numbers) if numbers else F.lit(False)), k, hot)
-    if busy is not None:
-        cold = cold.unionByName(busy.distinct())
-    total = seen["rows"]
-    buckets = max(1, -(-total // bucket_rows))
-    bucketed = cold.repartition(F.pmod(key_hash(k), F.lit(buckets))).withColumn("h", key_hash(k)).withColumn("b", F.pmod("h", F.lit(buckets))).sortWithinPartitions("b")
-    schema = T.StructType([T.StructField("s", T.LongType()), *(T.StructField(a, bucketed.schema[a].dataType) for a in k), T.StructField("change_kind", T.StringType())])
-    pairs = list(zip(numbers, numbers[1:]))
+    numbers = sorted(r["s"] for r in base.filter(F.col("s").isNotNull()).select("s").distinct().collect()) if snapshots is None else list(snapshots)
+    windows = [numbers[at : at + WINDOW] for at in range(0, max(1, len(numbers) - 1), WINDOW - 1)]
+    out = None
+    for window in windows:
+        part = _changes_between(base, k, window, bucket_rows, first_cells)
+        out = part if out is None else out.unionByName(part)
+    return out.select(F.col("s").cast(rows.schema[snapshot].dataType).alias(snapshot), *(F.col(a).alias(c) for a, c in zip(k, keys)), "change_kind")
 
-    def bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        h = table.column("h").to_numpy().view(np.uint64)
-        p = table.column("p").to_numpy().view(np.uint64)
-        s = table.column("s").to_numpy()
-        sides = {}
-        for n in numbers:
-            at = np.flatnonzero(s == n)
-            at = at[np.lexsort((p[at], h[at]))]
-            sides[n] = at[np.append(h[at][1:] != h[at][:-1], True)] if len(at) else at
-        exact = collides(table, h, k)
-        for before, after in pairs:
-            old, new = sides[before], sides[after]
-            if exact:
-                yield from by_keys(table, old_rows(table, s, before), old_rows(table, s, after), after)
-                continue
-            came, went = changed_hashes((h[old], p[old]), (h[new], p[new]), first_cells)
-            both = np.intersect1d(came, went)
-            for kind, hashes, side in (("added", np.setdiff1d(came, both), new), ("removed", np.setdiff1d(went, both), old), ("changed", both, new)):
-                if len(hashes):
-                    at = side[np.searchsorted(h[side], hashes)]
-                    yield emitted(table, at, after, kind)
-
-    def emitted(table: pa.Table, at: np.ndarray, number: int, kind: str) -> pa.RecordBatch:
-        rows_ = table.select(k).take(pa.array(at)).combine_chunks()
-        n = len(at)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *(rows_.column(a).chunk(0) for a in k), pa.array([kind] * n, pa.string())], names=schema.names)
-
-    def old_rows(table: pa.Table, s: np.ndarray, n: int) -> dict[tuple, tuple[int, int]]:
-        at = np.flatnonzero(s == n)
-        part = table.take(pa.array(at))
-        out: dict[tuple, tuple[int, int]] = {}
-        for i, p, *key in zip(at.tolist(), part.column("p").to_pylist(), *(part.column(a).to_pylist() for a in k)):
-            out[tuple(key)] = max(out.get(tuple(key), (p, i)), (p, i))
-        return out
 
-    def by_keys(table: pa.Table, old: dict, new: dict, number: int) -> Iterator[pa.RecordBatch]:
-        for kind, at in (
-            ("added", [i for key, (_, i) in new.items() if key not in old]),
-            ("removed", [i for key, (_, i) in old.items() if key not in new]),
-            ("changed", [i for key, (p, i) in new.items() if key in old and old[key][0] != p]),
-        ):
-            if at:
-                yield emitted(table, np.array(at), number, kind)
+def _changes_between(base: DataFrame, k: list[str], numbers: list[int], bucket_rows: int, first_cells: float) -> DataFrame:
+    sides = [f"p{i}" for i in range(len(numbers))]
+    held = [F.max(F.when(F.col("s") == n, F.col("p"))).alias(c) for n, c in zip(numbers, sides)]
+    listed = base.filter(F.col("s").isin(numbers)) if numbers else base.filter(F.lit(False))
+    wide = listed.groupBy(*k).agg(*held or [F.max("p").alias("_")]).withColumn("h", key_hash(k)).sortWithinPartitions("h")
+    schema = T.StructType([T.StructField("s", T.LongType()), *(T.StructField(a, base.schema[a].dataType) for a in k), T.StructField("change_kind", T.StringType())])
+
+    def bucket(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        signed = table.column("h").to_numpy()  # in ascending order
+        h = signed.view(np.uint64)
+        there = [table.column(c).is_valid().to_numpy(zero_copy_only=False) for c in sides]
+        hashes = [table.column(c).fill_null(0).to_numpy().view(np.uint64) for c in sides]
+        collides = bool((h[1:] == h[:-1]).any())
+        for i, number in enumerate(numbers[1:]):
+            old, new, p, q = there[i], there[i + 1], hashes[i], hashes[i + 1]
+            if collides:
+                kinds = {"added": new & ~old, "removed": old & ~new, "changed": old & new & (p != q)}
+                found = {kind: np.flatnonzero(mask) for kind, mask in kinds.items()}
+            else:
+                came, went = changed_hashes((h[old], p[old]), (h[new], q[new]), first_cells)
+                both = np.intersect1d(came, went)
+                found = {kind: np.searchsorted(signed, x.view(np.int64)) for kind, x in (("added", np.setdiff1d(came, both)), ("removed", np.setdiff1d(went, both)), ("changed", both))}
+            for kind, at in found.items():
+                if len(at):
+                    own = table.select(k).take(pa.array(at)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), *(own.column(a).chunk(0) for a in k), pa.array([kind] * len(at), pa.string())], names=schema.names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        waiting: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = batch.column("b").to_numpy()
-            edges = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(edges, edges[1:]):
-                if held and held[-1].column("b")[0].as_py() != b[lo]:
-                    yield from bucket(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from bucket(pa.Table.from_batches(held).combine_chunks())
-
-    out = bucketed.mapInArrow(stream, schema)
-    return out.select(F.col("s").cast(rows.schema[snapshot].dataType).alias(snapshot), *(F.col(a).alias(c) for a, c in zip(k, keys)), "change_kind")
-
-
-def collides(table: pa.Table, h: np.ndarray, k: list[str]) -> bool:
-    """Do two different keys of the bucket share a hash? Neighbours in hash order tell, as 64 bits of each key column."""
-    order = np.argsort(h, kind="stable")
-    same = np.flatnonzero(h[order][1:] == h[order][:-1])
-    if not len(same):
-        return False
-    a, b = pa.array(order[same]), pa.array(order[same + 1])
-    for c in k:
-        x, y = table.column(c).take(a), table.column(c).take(b)
-        if not x.equals(y):
-            return True
-    return False
+            waiting = joined(waiting, batch)
+            if waiting.num_rows < bucket_rows:
+                continue
+            edges = np.flatnonzero(differs_from_previous(waiting, ["h"])) + 1
+            if len(edges):  # the last hash may go on in the next batch
+                yield from bucket(waiting.slice(0, edges[-1]))
+                waiting = waiting.slice(edges[-1])
+        if waiting is not None:
+            yield from bucket(waiting)
+
+    return wide.mapInArrow(stream, schema)

@@ -47,7 +47,7 @@ def test_table_that_is_too_full():
 ROWS = [(1, None, "x", 1), (2, None, "x", 1), (3, "", "x", 1), (1, "a", "b", None), (2, "a", "b", None), (3, "a", "b", 5), (1, "q" * 50_000, "", 1), (3, "q" * 50_000, "", 1), (None, "n", "n", 1), (2, "A", "a", 1), (2, "a", "A", 1)]
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_rows": 2}, {"hot_rows": 1, "hot_share": 0.01}, {"first_cells": 0.0}])
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 2}, {"bucket_rows": 1}, {"first_cells": 0.0}])
 def test_defined_cases(spark, options):
     df = spark.createDataFrame(ROWS * 3, SCHEMA).withColumns({"h": F.lit(1), "change_kind": F.lit("clash"), "k0": F.lit(0)})
     assert found(df, **options) == changes(ROWS)
@@ -64,4 +64,4 @@ def test_like_brute_force(spark, cells, bucket_rows):
 
 def test_hot_key_and_many_buckets(spark):
     df = spark.range(30_000).select((F.col("id") % 3 + 1).cast("int").alias("s"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.floor(F.col("id") / 7))).alias("a"), F.lit("b").alias("b"), F.lit(1).cast("bigint").alias("v"))
-    assert found(df, hot_rows=100, bucket_rows=500) == changes([tuple(r) for r in df.collect()])
+    assert found(df, bucket_rows=500) == changes([tuple(r) for r in df.collect()])
