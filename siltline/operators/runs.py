@@ -74,7 +74,7 @@ def first_above(table: pa.Table, key: Key, sort: Sequence[str]) -> int:
     return bisect_right(range(table.num_rows), key, key=lambda i: key_at(table, i, sort))
 
 
-class _File:
+class RunFile:
     """One run of one bucket, as it is written."""
 
     def __init__(self, folder: str, bucket: int, run: int, sort: Sequence[str], row_group: int) -> None:
@@ -122,7 +122,7 @@ def write_runs(rows: DataFrame, folder: str, sort: Sequence[str], marked: Sequen
     by = list(sort if marked is None else marked)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file: _File | None = None
+        file: RunFile | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -133,7 +133,7 @@ def write_runs(rows: DataFrame, folder: str, sort: Sequence[str], marked: Sequen
                 if file is None or (file.bucket, file.run) != own:
                     if file is not None:
                         yield _manifest([file.close()])
-                    file = _File(folder, *own, by, row_group)
+                    file = RunFile(folder, *own, by, row_group)
                 file.add(table.select(columns).slice(lo, hi - lo))
         if file is not None:
             yield _manifest([file.close()])
