@@ -13,7 +13,7 @@ from siltline.llm.survivor import consensus_survivors
 from siltline.llm.tokens import token_counts
 from siltline.llm.topn import top_n
 from siltline.operators.materialise import materialise
-from siltline.operators.skew import broadcast_if_small, hot_key_hashes, split_hot
+from siltline.operators.skew import broadcast_if_small
 from siltline.sources.tables import read_table
 
 SEED = 20250101
@@ -48,15 +48,10 @@ def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def longest_media(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """For each source the ``n`` longest distinct videos that it ever listed."""
-    entries = read_table(spark, sf_dir, "source_entries").select("source_url", strip_white_space("video_id").alias("video_id"))
+    entries = read_table(spark, sf_dir, "source_entries").select("source_url", strip_white_space("video_id").alias("video_id")).distinct()
     media = read_table(spark, sf_dir, "media_metadata").filter(F.col("duration_seconds").isNotNull()).groupBy(F.col("id").alias("video_id")).agg(F.max("duration_seconds").alias("duration_seconds"))
-    hot, _ = hot_key_hashes(entries, ["video_id"])
-    cold, busy = split_hot(entries, ["video_id"], hot)
-    listed = cold.join(media, "video_id")
-    if busy is not None:  # a few videos that are listed very often: their copies go first
-        _, known = split_hot(media, ["video_id"], hot)
-        listed = listed.unionByName(busy.distinct().join(broadcast_if_small(known), "video_id"))
-    return top_n(listed, ["source_url"], "duration_seconds", "video_id", n)
+    # A video that very many sources list makes a skewed partition, which adaptive execution splits.
+    return top_n(entries.join(media, "video_id"), ["source_url"], "duration_seconds", "video_id", n, distinct=True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
