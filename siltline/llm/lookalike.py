@@ -13,13 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.operators.materialise import materialise
+from siltline.operators.skew import broadcast_if_small
 
-#: Letters of other scripts with the shape of a Latin letter (fixed values), in the order of their code points.
+#: Rows of one key that a task of a join takes.
+PER_TASK = 20_000
+
+#: Letters of other scripts with the shape of a Latin letter (fixed values): phonetic and Greek, Cyrillic, Armenian, Coptic, Lisu, Cherokee.
 LOOK_ALIKES = {
     "ɑ": "a", "ɡ": "g", "Ϳ": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
     "Χ": "X", "ν": "v", "ο": "o", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ѕ": "S", "І": "I", "Ј": "J", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
     "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "Ѵ": "V",
     "ѵ": "v", "Ү": "Y", "һ": "h", "Ӏ": "I", "ӏ": "l", "ԁ": "d", "Ԛ": "Q", "ԛ": "q", "Ԝ": "W", "ԝ": "w", "Օ": "O", "Տ": "S", "հ": "h", "ո": "n", "ս": "u", "օ": "o",
+    "ց": "g", "զ": "q", "յ": "j", "Ս": "U",
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R",
+    "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 #: Code points with the property Default_Ignorable_Code_Point, as first and last (fixed values).
@@ -81,6 +89,24 @@ def _folded(visual: str) -> str:
     return folded if folded.isascii() else unicodedata.normalize("NFC", _drawn(folded).casefold())
 
 
+def visual_sql(text: str) -> str:
+    """The visual form as an expression of a plain SQL engine that composes characters, out of the same table of shapes."""
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0xFFFF)]):
+        seen = visual_form(c)
+        if seen != unicodedata.normalize("NFC", c):
+            (one if len(seen) == 1 else several)[c] = seen
+    gone = [c for c, seen in several.items() if not seen]
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    # Characters without a partner in the second text are left out.
+    out = f"translate(nfc_normalize(replace({text}, chr(13) || chr(10), chr(10))), {quoted(''.join([*one, *gone]))}, {quoted(''.join(one.values()))})"
+    for c, seen in several.items():
+        if seen:
+            out = f"replace({out}, {quoted(c)}, {quoted(seen)})"
+    return f"nfc_normalize(regexp_replace({out}, '[\\x{{1BCA0}}-\\x{{1BCA3}}\\x{{1D173}}-\\x{{1D17A}}\\x{{E0000}}-\\x{{E0FFF}}]', '', 'g'))"
+
+
 def canonical_text(rows: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     """The rows with the canonical form of a text column, each distinct value of a batch worked out once.
 
@@ -122,23 +148,53 @@ def digests(rows: DataFrame, id: str, text: str) -> DataFrame:
     return base.mapInArrow(stream, f"id {base.schema['id'].dataType.simpleString()}, canonical binary, visual binary, exact binary")
 
 
+def look_alike_classes(rows: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows whose text looks like another, different text, each with its class.
+
+    Texts meet by the digest of their canonical form. That form also merges what prints differently, as case or
+    compatibility forms, so a digest of the visual form, which keeps these apart, decides which of them make a class.
+    Copies of a text are added up before anything else, on the map side first.
+
+    Returns the id, ``class_id`` (the least id of the class), ``text_id`` (the same for exactly equal texts), ``members`` (rows of the class) and ``links`` (rows of the class with another text).
+
+    Null texts and null ids are in no class; empty text looks like text of only invisible characters; exact copies
+    alone make no class; a repeated id counts as often as it occurs; other columns do not matter.
+    """
+    known = materialise(digests(rows.filter(F.col(id).isNotNull()), id, text))
+    texts = known.groupBy("canonical", "visual", "exact").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    looks = texts.groupBy("canonical", "visual").agg(F.sum("copies").alias("members"), F.count(F.lit(1)).alias("texts"), F.min("least").alias("class_id")).filter(F.col("texts") > 1)
+    several = texts.join(looks, ["canonical", "visual"]).select("exact", "class_id", F.hex("exact").alias("text_id"), "members", (F.col("members") - F.col("copies")).alias("links"))
+    # One text may be a third of all rows; its rows are spread, and the one row that they meet is repeated.
+    found = spread_join(known.select("id", "exact"), several.withColumn("rows", F.col("members") - F.col("links")), "exact", "id")
+    return found.select(F.col("id").alias(id), "class_id", "text_id", "members", "links")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, per_task: int = PER_TASK) -> DataFrame:
+    """An inner join in which the rows of one key are divided among tasks by a hash of ``by``.
+
+    ``right`` says in ``rows`` how many rows of ``left`` a key has; it is repeated as often as that makes
+    ``per_task`` rows. It is broadcast instead if it is counted to be small.
+    """
+    small = broadcast_if_small(right)
+    if small is not right:
+        return left.join(small.drop("rows"), key)
+    parts = F.greatest(F.ceil(F.col("rows") / per_task), F.lit(1)).cast("int")
+    sizes = right.groupBy(key).agg(F.max(parts).alias("_parts")).filter(F.col("_parts") > 1)  # at most rows / per_task keys
+    marked = left.join(broadcast_if_small(sizes), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return marked.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows"), [key, "_part"]).drop("_part")
+
+
 def look_alike_pairs(rows: DataFrame, id: str, text: str) -> DataFrame:
-    """Every pair of rows whose texts look the same although their characters differ.
+    """Every pair of rows whose texts look the same although their characters differ, from the classes.
 
-    Rows meet by the digest of their canonical form; of these, the exact check keeps pairs whose visual form
-    is equal too, so that case or compatibility forms that print differently make no pair. Pairs are found
-    between distinct texts; only the pairs asked for are then expanded to rows. Exact copies among
-    themselves are never paired or compared.
+    Rows of a class pair with those of its other texts only. Exact copies among themselves are never paired or
+    compared.
 
     Returns ``<id>_a`` < ``<id>_b``. Null texts and null ids take part in no pair; empty text looks like text
     of only invisible characters; a repeated id counts as often as it occurs; other columns do not matter.
     """
-    known = materialise(digests(rows.filter(F.col(id).isNotNull()), id, text))
-    groups = known.groupBy("canonical", "visual").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter(F.col("lo") != F.col("hi")).select("canonical", "visual")
-    members = materialise(known.join(groups, ["canonical", "visual"], "left_semi"))
-    texts = members.select("canonical", "visual", "exact").distinct()
-    pairs = texts.alias("a").join(texts.alias("b"), (F.col("a.canonical") == F.col("b.canonical")) & (F.col("a.visual") == F.col("b.visual")) & (F.col("a.exact") < F.col("b.exact"))).select(F.col("a.exact").alias("x"), F.col("b.exact").alias("y"))
-    one = members.select(F.col("exact").alias("x"), F.col("id").alias("i"))
-    two = members.select(F.col("exact").alias("y"), F.col("id").alias("j"))
-    both = pairs.join(one, "x").join(two, "y")
-    return both.select(F.least("i", "j").alias(f"{id}_a"), F.greatest("i", "j").alias(f"{id}_b")).filter(F.col(f"{id}_a") != F.col(f"{id}_b"))
+    classes = materialise(look_alike_classes(rows, id, text))
+    one = classes.select("class_id", F.col(id).alias("i"), F.col("text_id").alias("x"))
+    two = classes.select("class_id", F.col(id).alias("j"), F.col("text_id").alias("y"), F.col("members").alias("rows"))
+    both = spread_join(one, two, "class_id", "i").filter((F.col("x") < F.col("y")) & (F.col("i") != F.col("j")))
+    return both.select(F.least("i", "j").alias(f"{id}_a"), F.greatest("i", "j").alias(f"{id}_b"))

@@ -82,17 +82,21 @@ def route(patterns: Mapping[Sequence[str], int], quotas: Mapping[str, int], repe
 
 
 def feasible_total(patterns: Mapping[Sequence[str], int], weights: Mapping[str, float], repeats: Mapping[str, int]) -> int:
-    """The largest total at which every source that has anything reaches its quota."""
-    have = {s: weights[s] for s in weights if any(s in p and n for p, n in patterns.items())}
-    whole = sum(have.values())
-    lo, hi = 0, sum(n * sum(repeats[s] for s in p if s in repeats) for p, n in patterns.items())
+    """The largest total at which every source that has anything reaches its quota.
+
+    A pattern may be used for each of its sources as often as that source allows, whatever the others take; so a
+    source can reach its own tokens times its repeats, and the scarcest source decides.
+    """
+    reach = {s: repeats[s] * sum(n for p, n in patterns.items() if s in p) for s in weights}
+    whole = sum(weights[s] for s in weights if reach[s])
+
+    def fits(total: int) -> bool:
+        return all(int(total * weights[s] / whole) <= reach[s] for s in weights if reach[s])
+
+    lo, hi = 0, sum(reach.values())
     while lo < hi:
         middle = (lo + hi + 1) // 2
-        wanted = {s: int(middle * w / whole) for s, w in have.items()}
-        if sum(route(patterns, wanted, repeats).values()) >= sum(wanted.values()):
-            lo = middle
-        else:
-            hi = middle - 1
+        lo, hi = (middle, hi) if fits(middle) else (lo, middle - 1)
     return lo
 
 
@@ -119,7 +123,8 @@ def mixture(
     larger total, sources that run out give all they may, and the rest is left short.
 
     Returns the chosen documents (id, source, uses, tokens of one use) and per source target_share,
-    target_tokens, available_tokens, reached_tokens, reached_share, chosen and most_uses.
+    target_tokens, available_tokens, within_tokens (how far the tokens reached may be from the target: the
+    largest document of each pattern used), reached_tokens, reached_share, chosen and most_uses.
 
     Defined cases: documents without size, with null or unlisted sources, or of weight 0 take no part; a
     source named twice counts once; a listed source without documents reaches 0 and its weight is shared by
@@ -137,10 +142,11 @@ def mixture(
         F.array_join(F.array_sort(F.array_intersect(listed, F.col(sources))), _SEPARATOR).alias("pattern"),
         F.xxhash64(F.col(id), F.lit(seed)).alias("h"),
     ).filter((F.col("tokens") > 0) & (F.col("pattern") != ""))
-    found = base.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(PATTERNS + 1).collect()
+    found = base.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.count(F.lit(1)).alias("n")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
     patterns = {tuple(r["pattern"].split(_SEPARATOR)): r["tokens"] for r in found}
+    largest = {tuple(r["pattern"].split(_SEPARATOR)): r["largest"] for r in found}
     have = [s for s in open_ if any(s in p for p in patterns)]
     whole, all_ = sum(weights[s] for s in have), sum(weights.values())
     amount = feasible_total(patterns, {s: weights[s] for s in have}, repeats) if total is None else total
@@ -161,10 +167,10 @@ def mixture(
     running = spread.withColumn("upto", F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     placed = running.join(broadcast_if_small(offsets), ["pattern", "bucket"]).select("id", "pattern", "tokens", (F.col("before") + F.col("upto") - F.col("tokens") / 2.0).alias("middle"))
     uses = F.ceil((F.col("start") + F.col("arc") - F.col("middle")) / F.col("whole")) - F.ceil((F.col("start") - F.col("middle")) / F.col("whole"))
-    chosen = placed.join(F.broadcast(arcs_df), "pattern").select(F.col("id").alias(id), "source", uses.cast("int").alias("uses"), "tokens").filter(F.col("uses") > 0)
+    chosen = placed.join(broadcast_if_small(arcs_df), "pattern").select(F.col("id").alias(id), "source", uses.cast("int").alias("uses"), "tokens").filter(F.col("uses") > 0)
 
     available = {s: sum(n for p, n in patterns.items() if s in p) for s in weights}
-    plan = spark.createDataFrame([(s, weights[s] / all_ if all_ else None, quotas.get(s, 0), available[s]) for s in weights], "source string, target_share double, target_tokens bigint, available_tokens bigint")
+    plan = spark.createDataFrame([(s, weights[s] / all_ if all_ else None, quotas.get(s, 0), available[s], sum(largest[p] for p, t in flows if t == s)) for s in weights], "source string, target_share double, target_tokens bigint, available_tokens bigint, within_tokens bigint")
     reached = chosen.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("reached_tokens"), F.count(F.lit(1)).alias("chosen"), F.max("uses").alias("most_uses"))
     shares = plan.join(reached, "source", "left").na.fill(0, ["reached_tokens", "chosen", "most_uses"])
     return chosen, shares.withColumn("reached_share", F.try_divide(F.col("reached_tokens").cast("double"), F.sum("reached_tokens").over(W.partitionBy())))

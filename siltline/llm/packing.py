@@ -223,6 +223,23 @@ def pack(sizes: Sequence[int], capacity: int, branches: int = BRANCHES, nodes: i
     return best
 
 
+def room_gaps(packed: DataFrame, specs: Sequence[tuple[int, int]]) -> DataFrame:
+    """What the packing of each room leaves open: containers, the least that any packing of the room needs, and whether they are equal.
+
+    ``packed`` is what ``pack_items`` returns. Columns: spec_id, room, containers, least, proven.
+    """
+    capacity = {int(s): int(c) for s, c in specs}
+    rooms = packed.select("spec_id", F.split("container_id", "-")[1].cast("long").alias("room"), "container_id", "piece_size")
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        spec, made = int(pdf["spec_id"].iloc[0]), pdf["container_id"].nunique()
+        sizes = [s for s in pdf["piece_size"].tolist() if s]
+        least = max(1, lower_bound(sizes, capacity[spec]))
+        return pd.DataFrame({"spec_id": [spec], "room": [int(pdf["room"].iloc[0])], "containers": [made], "least": [least], "proven": [made == least]})
+
+    return rooms.groupBy("spec_id", "room").applyInPandas(bound, "spec_id int, room bigint, containers bigint, least bigint, proven boolean")
+
+
 def pack_items(
     items: DataFrame,
     id: str,

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,18 @@ def test_flow():
     assert feasible_total({("a",): 100, ("b",): 10}, {"a": 1, "b": 1}, {"a": 1, "b": 3}) == 61
 
 
+def test_the_largest_total_leaves_no_source_short():
+    rng = random.Random(2)
+    for _ in range(100):
+        names = "abcd"[: rng.randint(1, 4)]
+        patterns = {tuple(s for s in names if rng.random() < 0.5) or (names[0],): rng.randint(1, 200) for _ in range(5)}
+        weights, repeats = {s: float(rng.randint(1, 9)) for s in names}, {s: rng.randint(1, 3) for s in names}
+        have = {s: w for s, w in weights.items() if any(s in p for p in patterns)}
+        short = lambda total: any(n > sum(x for (_, t), x in route(patterns, {s: int(total * w / sum(have.values())) for s, w in have.items()}, repeats).items() if t == s) for s, n in {s: int(total * w / sum(have.values())) for s, w in have.items()}.items())
+        total = feasible_total(patterns, have, repeats)
+        assert not short(total) and short(total + max(1, -int(-sum(have.values()) // min(have.values())) + 1))
+
+
 def documents(spark, n=3_000):
     source = F.when(F.col("id") % 3 == 0, F.array(F.lit("a"))).when(F.col("id") % 10 == 1, F.array(F.lit("b"))).when(F.col("id") % 10 == 2, F.array(F.lit("b"), F.lit("a"), F.lit("b"), F.lit("zz"))).otherwise(F.array(F.lit("c"), F.lit(None)))
     return spark.range(n).select(F.col("id").alias("i"), source.alias("sources"), (F.pmod(F.xxhash64("id"), F.lit(40)) + 1).alias("size"))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.llm.packing import _completions, best_fit, lower_bound, pack, pack_items
+from siltline.llm.packing import _completions, best_fit, lower_bound, pack, pack_items, room_gaps
 
 sizes_ = st.lists(st.integers(1, 20), max_size=7)
 
@@ -69,6 +69,38 @@ def test_every_filling_is_listed_or_dominated(items, room, branches):
     assert all(sum(f) >= room - 2 for f in listed if f in list(_completions(stock, room, branches, 2, [10_000])))
 
 
+def optimum(sizes, capacity):
+    """Brute force over all sets of items: the least containers, and the least filled last one."""
+    best = [(len(sizes) + 1, 0)] * (1 << len(sizes))
+    best[0] = (1, 0)
+    for chosen in range(len(best)):
+        made, filled = best[chosen]
+        for i, s in enumerate(sizes):
+            if not chosen >> i & 1:
+                after = chosen | 1 << i
+                way = (made, filled + s) if filled + s <= capacity else (made + 1, s)
+                if way < best[after]:
+                    best[after] = way
+    return best[-1][0] if sizes else 0
+
+
+def test_a_thousand_rooms_like_brute_force():
+    rng = random.Random(11)
+    known = [(50, [5, 5, 6, 9, 10, 15, 17, 18, 19, 21, 25]), (20, [2, 3, 4, 5, 6, 9, 9, 9, 12]), (20, [10, 8, 8, 8, 6, 6, 5, 5, 4])]
+    for capacity, sizes in known + [(c := rng.choice([15, 20, 37, 50, 100]), [rng.randint(1, max(2, c * 6 // 10)) for _ in range(rng.choice([6, 7, 8, 8, 9, 9, 10, 12]))]) for _ in range(1_000)]:
+        found = pack(sizes, capacity)
+        assert sorted(s for f in found for s in f) == sorted(sizes) and all(sum(f) <= capacity for f in found)
+        assert len(found) == optimum(sizes, capacity), (capacity, sizes)
+
+
+def test_gaps_of_rooms(spark):
+    df = spark.range(3_000).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("size"))
+    packed = pack_items(df, "i", "size", [(1, 128)], room_containers=40)
+    rooms = room_gaps(packed, [(1, 128)]).collect()
+    assert len(rooms) > 1 and sum(r.containers for r in rooms) == packed.select("container_id").distinct().count()
+    assert all(r.least <= r.containers and r.proven == (r.least == r.containers) for r in rooms)
+
+
 def check(df, items, specs, **options):
     rows = pack_items(df, "i", "size", specs, **options).collect()
     capacity = dict(specs)
