@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltline.functions.json_text import read_json
 from siltline.operators.arrow import differs_from_previous, in_batches, joined
 from siltline.operators.runs import RANGE_ROWS, ROW_GROUP, RUNS, Run, first_not_below, items_of, key_at, merge_blocks, merge_ranges, partitions, run_folder, spread_by_run, write_runs
 from siltline.operators.skew import key_hash
@@ -177,17 +178,13 @@ def instant_from_text(text: str | None) -> int | None:
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
-
-
 def read_object(text: str | None) -> dict | None:
     """The JSON object that the text is, or None. NaN and Infinity are not JSON."""
     if text is None:
         return None
     try:
-        found = json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        found = read_json(text)
+    except ValueError:
         return None
     return found if isinstance(found, dict) else None
 

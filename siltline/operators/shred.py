@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltline.functions.json_text import depth_bound, read_json, write_json
 from siltline.operators.history import read_object
 
 #: Members of a record that hold objects, those that are keyed by a name first, and members of such objects.
@@ -20,8 +20,8 @@ KEYED = ("subtitles",)
 NESTED = ("formats", "chapters", "fragments", "replies")
 #: Records that are shredded at a time; bounds the memory of a task.
 STRIPE = 400
-#: Calls that may be nested while a record is read; some four per level.
-DEPTH = 100_000
+#: Calls per level of nesting while a record is read, and levels that need no look at how deep a record is.
+CALLS, LEVELS = 6, 3_000
 
 Path = tuple[str, ...]
 
@@ -39,8 +39,8 @@ def _unwrapped(value: object) -> object:
     """A list or object that was delivered as JSON text, however often encoded, is read; other text holds nothing."""
     while isinstance(value, str):  # each reading takes at least the quotes off, so this ends
         try:
-            value = json.loads(value)
-        except (ValueError, RecursionError):
+            value = read_json(value)
+        except ValueError:
             return None
     return value
 
@@ -61,6 +61,17 @@ def _slots(value: object, nested: frozenset[str], keyed: bool, seen: dict[Path,
     return [("", out)] if keyed else out
 
 
+def _deep(value: object, most: int) -> bool:
+    """Is a value nested deeper than so many levels? Text that may hold JSON counts by its brackets."""
+    level, deep = [value], 0
+    while level and deep <= most:
+        level = [inner for x in level if isinstance(x, (dict, list)) for inner in (x.values() if isinstance(x, dict) else x)]
+        deep += 1
+        if any(isinstance(x, str) and depth_bound(x) > most - deep for x in level):
+            return True
+    return bool(level)
+
+
 def _node(value: dict, members: frozenset[str], seen: dict[Path, None], path: Path, keyed: frozenset[str] = frozenset(), nested: frozenset[str] | None = None) -> Node:
     inner = members if nested is None else nested
     values, groups = {}, {}
@@ -74,11 +85,26 @@ def _node(value: dict, members: frozenset[str], seen: dict[Path, None], path: Pa
     return Node(values, groups)
 
 
+class Leaf:
+    """One leaf path: a repetition and a definition level per slot of its group, and the values there are.
+
+    A leaf is not repeated inside its group, so its repetition levels are those of the group, which all leaves of
+    the group share in memory. Its definition levels are its own: one above the group's where the member is there.
+    """
+
+    __slots__ = ("defs", "max_def", "reps", "values")
+
+    def __init__(self, group: Column, slots: Sequence[int], values: list) -> None:
+        self.reps, self.max_def, self.values = group.reps, group.max_def + 1, values
+        self.defs = np.array(group.defs, np.int32)
+        self.defs[list(slots)] += 1
+
+
 class Column:
-    """One repeated group: repetition and definition level of each slot, its record, key and leaf values.
+    """One repeated group: repetition and definition level of each slot, its record, key, and its leaf paths.
 
     Levels count per nesting step one repetition (two for a keyed member: key and place) and two
-    definitions: that there is a slot, and that it holds an object.
+    definitions: that there is a slot, and that it holds an object. A leaf has one more, that the member is there.
     """
 
     __slots__ = ("defs", "keys", "leaves", "max_def", "records", "reps")
@@ -98,6 +124,10 @@ class Column:
             found.append(v)
 
 
+    def leaf(self, name: str) -> Leaf:
+        return Leaf(self, *self.leaves[name])
+
+
 def shred(records: Sequence[str | None], roots: Sequence[str] = ROOTS, keyed: Sequence[str] = KEYED, nested: Sequence[str] = NESTED) -> dict[Path, Column]:
     """The columns of a stripe of JSON texts, by path of the repeated group. Texts that are no object have none."""
     top, inner, maps = frozenset(roots), frozenset(nested), frozenset(keyed)
@@ -105,6 +135,9 @@ def shred(records: Sequence[str | None], roots: Sequence[str] = ROOTS, keyed: Se
     trees: list[Node | None] = []
     for text in records:
         found = read_object(text)
+        if found is not None and (levels := depth_bound(text)) * CALLS > sys.getrecursionlimit() and _deep(found, sys.getrecursionlimit() // CALLS):
+            # Calls between functions written in Python take no room on the machine's stack.
+            sys.setrecursionlimit(levels * CALLS + 1_000)
         trees.append(None if found is None else _node(found, top, seen, (), maps, inner))
     children: dict[Path, list[Path]] = {}
     for path in seen:
@@ -167,7 +200,7 @@ def places(column: Column, depth: int, maps: bool) -> tuple[np.ndarray, list[str
 def _text(value: object) -> str | None:
     if value is None:
         return None
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else write_json(value)
     return text.encode("utf-8", "backslashreplace").decode()
 
 
@@ -182,8 +215,9 @@ def nested_rows(
 ) -> DataFrame:
     """One flat row per object that a record holds in ``roots`` and, inside these, in ``nested``, at any depth.
 
-    Each stripe of records is shredded into one column per leaf path with repetition and definition levels;
-    the rows of every repeated ancestor are then put together from its level sequences. Nothing is shuffled.
+    Each stripe of records is shredded into columns with a repetition and a definition level per leaf path; the
+    rows of every repeated ancestor are then put together from the level sequences. Without ``attributes`` the
+    leaves are pruned and the ancestors' own levels are enough. Nothing is shuffled.
 
     Returns the ids, ``member_path`` (member names), ``pos_path`` (places from the outside in; a ``keyed``
     member's key stands before the place), ``parent_path`` and ``parent_pos`` (both '' for the record
@@ -192,7 +226,7 @@ def nested_rows(
 
     Defined cases: a member may be a list, a single object (place 0), or either as JSON text, encoded any number of times; a null element
     keeps its place and is no row; other elements are treated like null; text that is not one complete JSON
-    object, or is nested deeper than the JSON reader goes (some thousand levels), has no rows; empty members have none; null ids are kept; clashing names of other columns do not
+    object has no rows; any depth is read; empty members have none; null ids are kept; clashing names of other columns do not
     matter; repeated records give repeated rows.
     """
     ids = list(ids)
@@ -220,7 +254,7 @@ def nested_rows(
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), LEVELS * CALLS))
         for batch in batches:
             for lo in range(0, batch.num_rows, STRIPE):
                 yield from tables(batch.slice(lo, STRIPE))
@@ -241,12 +275,14 @@ def _inherited(root: Column, column: Column) -> list[str | None]:
 
 
 def _attributes(column: Column, held: np.ndarray) -> pa.Array:
-    """The leaf columns of the slots that hold an object, as one map per slot."""
+    """The leaf columns put together to one map per slot that holds an object, by the definition levels."""
     row = np.full(len(column.reps), -1)
     row[held] = np.arange(len(held))
     maps: list[list[tuple[str, str | None]]] = [[] for _ in held]
-    for name, (slots, values) in column.leaves.items():
-        for r, v in zip(row[slots].tolist(), values):
+    for name in column.leaves:
+        leaf = column.leaf(name)
+        there = np.flatnonzero(leaf.defs == leaf.max_def)
+        for r, v in zip(row[there].tolist(), leaf.values):
             maps[r].append((_text(name), _text(v)))
     return pa.array(maps, pa.map_(pa.string(), pa.string()))
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltline.operators.shred import KEYED, NESTED, ROOTS, flat_table, nested_rows
+from siltline.operators.shred import KEYED, NESTED, ROOTS, flat_table, nested_rows, shred
 
 
 def read(v):
@@ -107,3 +107,18 @@ def test_members_encoded_many_times(spark):
         member = json.dumps(member)
     rows = found(spark, [json.dumps({"formats": member, "chapters": "\"\\\"text\\\"\""})]).select("member_path", "pos_path").collect()
     assert sorted(map(tuple, rows)) == [("formats", "0"), ("formats.chapters", "0.0")]
+
+
+def test_leaf_levels():
+    columns = shred(['{"formats": [{"a": 1, "fragments": [{"x": 1}, null]}, null, {"a": null}]}', "{}"])
+    group = columns["formats",]
+    leaf = group.leaf("a")
+    assert leaf.max_def == 3 and list(leaf.reps) == [0, 1, 1, 0] and leaf.defs.tolist() == [3, 1, 3, 0] and leaf.values == [1, None]
+    inner = columns["formats", "fragments"].leaf("x")
+    assert inner.max_def == 5 and list(inner.reps) == [0, 2, 1, 1, 0] and inner.defs.tolist() == [5, 3, 1, 2, 0] and inner.values == [1]
+
+
+def test_depth_of_other_members(spark):
+    text = '{"comments": {"x": ' + "[" * 50_000 + "]" * 50_000 + "}}"
+    row = found(spark, [text]).head()
+    assert row.member_path == "comments" and len(row.attributes["x"]) == 100_000
