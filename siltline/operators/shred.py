@@ -23,6 +23,9 @@ STRIPE = 400
 #: Calls per level of nesting while a record is read, and levels that need no look at how deep a record is.
 CALLS, LEVELS = 6, 3_000
 
+#: Slots of a column up to which they are gone through one by one.
+FEW_SLOTS = 64
+
 Path = tuple[str, ...]
 
 
@@ -140,11 +143,8 @@ def shred(records: Sequence[str | None], roots: Sequence[str] = ROOTS, keyed: Se
             sys.setrecursionlimit(levels * CALLS + 1_000)
         trees.append(None if found is None else _node(found, top, seen, (), maps, inner))
     children: dict[Path, list[Path]] = {}
-    for path in seen:
-        for n in range(len(path)):
-            below = children.setdefault(path[:n], [])
-            if path[: n + 1] not in below:
-                below.append(path[: n + 1])
+    for path in seen:  # the groups above a group are members too
+        children.setdefault(path[:-1], []).append(path)
     columns = {path: Column(2 * len(path)) for below in children.values() for path in below}
 
     def missing(path: Path, record: int, rep: int, level: int) -> None:
@@ -184,12 +184,7 @@ def places(column: Column, depth: int, maps: bool) -> tuple[np.ndarray, list[str
     """Which slots hold an object, and the places of these from the outside in, from the level sequences alone."""
     reps, defs = np.asarray(column.reps, np.int32), np.asarray(column.defs, np.int32)
     held = np.flatnonzero(defs == column.max_def)
-    index = np.arange(len(reps))
-    counts = []
-    for level in range(1, depth + maps + 1):
-        steps = np.cumsum(reps == level)
-        start = np.maximum.accumulate(np.where(reps < level, index, 0))
-        counts.append((steps - steps[start])[held])
+    counts = _few_counts(column, depth + maps) if len(reps) < FEW_SLOTS else _counts(reps, held, depth + maps)
     if maps:  # the key stands for the place at the first level
         keys = [column.keys[i] for i in held.tolist()]
         rest = [c.tolist() for c in counts[1:]]
@@ -197,6 +192,28 @@ def places(column: Column, depth: int, maps: bool) -> tuple[np.ndarray, list[str
     return held, [".".join(map(str, at)) for at in zip(*(c.tolist() for c in counts))]
 
 
+def _counts(reps: np.ndarray, held: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Per level the places of the held slots: how often it repeated since a level above did."""
+    index, out = np.arange(len(reps)), []
+    for level in range(1, levels + 1):
+        steps = np.cumsum(reps == level)
+        start = np.maximum.accumulate(np.where(reps < level, index, 0))
+        out.append((steps - steps[start])[held])
+    return out
+
+
+def _few_counts(column: Column, levels: int) -> list[np.ndarray]:
+    """The same slot by slot, which is quicker where there are few slots, however deep."""
+    place, out = np.zeros(levels, np.int64), []
+    for rep, level in zip(column.reps, column.defs):
+        if rep:
+            place[rep - 1] += 1
+        place[rep:] = 0
+        if level == column.max_def:
+            out.append(place.copy())
+    return list(np.array(out, np.int64).reshape(-1, levels).T)
+
+
 def _text(value: object) -> str | None:
     if value is None:
         return None
