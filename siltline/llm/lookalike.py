@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -161,15 +161,16 @@ def look_alike_classes(rows: DataFrame, id: str, text: str) -> DataFrame:
     alone make no class; a repeated id counts as often as it occurs; other columns do not matter.
     """
     known = materialise(digests(rows.filter(F.col(id).isNotNull()), id, text))
-    texts = known.groupBy("canonical", "visual", "exact").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
-    looks = texts.groupBy("canonical", "visual").agg(F.sum("copies").alias("members"), F.count(F.lit(1)).alias("texts"), F.min("least").alias("class_id")).filter(F.col("texts") > 1)
-    several = texts.join(looks, ["canonical", "visual"]).select("exact", "class_id", F.hex("exact").alias("text_id"), "members", (F.col("members") - F.col("copies")).alias("links"))
-    # One text may be a third of all rows; its rows are spread, and the one row that they meet is repeated.
-    found = spread_join(known.select("id", "exact"), several.withColumn("rows", F.col("members") - F.col("links")), "exact", "id")
-    return found.select(F.col("id").alias(id), "class_id", "text_id", "members", "links")
+    found = known.groupBy("canonical", "visual").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("id").alias("class_id"))
+    several = found.filter(F.col("lo") != F.col("hi")).select("canonical", "visual", "class_id", "members", F.col("members").alias("rows"))
+    # A class, and a text, may have a third of all rows; these are divided, and the one row that they meet is repeated.
+    inside = materialise(spread_join(known, several, ["canonical", "visual"], "id").select("id", "exact", "class_id", "members"))
+    copies = inside.groupBy("exact").agg(F.count(F.lit(1)).alias("rows")).withColumn("copies", F.col("rows"))
+    out = spread_join(inside, copies, ["exact"], "id")
+    return out.select(F.col("id").alias(id), "class_id", F.hex("exact").alias("text_id"), "members", (F.col("members") - F.col("copies")).alias("links"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, per_task: int = PER_TASK) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: Sequence[str], by: str, per_task: int = PER_TASK) -> DataFrame:
     """An inner join in which the rows of one key are divided among tasks by a hash of ``by``.
 
     ``right`` says in ``rows`` how many rows of ``left`` a key has; it is repeated as often as that makes
@@ -177,11 +178,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, per_task:
     """
     small = broadcast_if_small(right)
     if small is not right:
-        return left.join(small.drop("rows"), key)
+        return left.join(small.drop("rows"), list(key))
     parts = F.greatest(F.ceil(F.col("rows") / per_task), F.lit(1)).cast("int")
-    sizes = right.groupBy(key).agg(F.max(parts).alias("_parts")).filter(F.col("_parts") > 1)  # at most rows / per_task keys
-    marked = left.join(broadcast_if_small(sizes), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    return marked.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows"), [key, "_part"]).drop("_part")
+    sizes = right.groupBy(*key).agg(F.max(parts).alias("_parts")).filter(F.col("_parts") > 1)  # at most rows / per_task keys
+    marked = left.join(broadcast_if_small(sizes), list(key), "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return marked.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows"), [*key, "_part"]).drop("_part")
 
 
 def look_alike_pairs(rows: DataFrame, id: str, text: str) -> DataFrame:
@@ -196,5 +197,5 @@ def look_alike_pairs(rows: DataFrame, id: str, text: str) -> DataFrame:
     classes = materialise(look_alike_classes(rows, id, text))
     one = classes.select("class_id", F.col(id).alias("i"), F.col("text_id").alias("x"))
     two = classes.select("class_id", F.col(id).alias("j"), F.col("text_id").alias("y"), F.col("members").alias("rows"))
-    both = spread_join(one, two, "class_id", "i").filter((F.col("x") < F.col("y")) & (F.col("i") != F.col("j")))
+    both = spread_join(one, two, ["class_id"], "i").filter((F.col("x") < F.col("y")) & (F.col("i") != F.col("j")))
     return both.select(F.least("i", "j").alias(f"{id}_a"), F.greatest("i", "j").alias(f"{id}_b"))

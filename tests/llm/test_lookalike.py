@@ -82,7 +82,7 @@ def test_rows_of_one_key_are_divided(spark):
     plain = sorted(tuple(r) for r in left.join(right.drop("rows"), "key").select("id", "least").collect())
     with pytest.MonkeyPatch.context() as m:
         m.setattr(lookalike, "broadcast_if_small", lambda df: df)
-        assert sorted(tuple(r) for r in lookalike.spread_join(left, right, "key", "id", per_task=50).select("id", "least").collect()) == plain
+        assert sorted(tuple(r) for r in lookalike.spread_join(left, right, ["key"], "id", per_task=50).select("id", "least").collect()) == plain
 
 
 def test_copies_are_a_third_of_all_rows(spark):
