@@ -135,7 +135,7 @@ WITH RECURSIVE t AS (
   UNION ALL
   SELECT record_id, c.kind, c.path, c.pos, c.up_path, c.up_pos, c.v FROM (SELECT record_id, unnest(CASE
     WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN [{{kind: kind, path: member_path, pos: pos_path, up_path: parent_path, up_pos: parent_pos, v: CAST(v->>'$' AS JSON)}}] ELSE [] END
-    WHEN kind = 'm' AND member_path IN ({_listed(KEYED)}) AND pos_path = '' AND json_type(v) = 'OBJECT' AND list_bool_and([json_type(v, '$."' || x || '"') <> 'VARCHAR' OR json_valid(json_extract_string(v, '$."' || x || '"')) FOR x IN json_keys(v)])
+    WHEN kind = 'm' AND member_path IN ({_listed(KEYED)}) AND pos_path = '' AND json_type(v) = 'OBJECT' AND coalesce(list_bool_and([json_type(v, '$."' || x || '"') <> 'VARCHAR' OR json_valid(json_extract_string(v, '$."' || x || '"')) FOR x IN json_keys(v)]), true)
       THEN [{{kind: 'm', path: member_path, pos: x, up_path: parent_path, up_pos: parent_pos, v: json_extract(v, '$."' || x || '"')}} FOR x IN json_keys(v)]
     WHEN kind = 'm' AND json_type(v) = 'ARRAY'
       THEN [{{kind: 's', path: member_path, pos: CASE WHEN pos_path = '' THEN '' ELSE pos_path || '.' END || i, up_path: parent_path, up_pos: parent_pos, v: json_extract(v, '$[' || i || ']')}} FOR i IN range(CAST(json_array_length(v) AS BIGINT))]

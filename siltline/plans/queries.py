@@ -251,7 +251,7 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.as_references(sql("SELECT id FROM media_metadata", table_catalog(spark, sf_dir)), "urls", "https://tube.example/watch?v=")
 
 
-@_query("sink_auto", """SELECT to_json({'r_name': r_name, 'r_regionkey': CAST(r_regionkey AS BIGINT)}) AS value FROM region""")
+@_query("sink_auto", """SELECT CAST(to_json({'r_name': r_name, 'r_regionkey': CAST(r_regionkey AS BIGINT)}) AS VARCHAR) AS value FROM region""")
 def _auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.as_text(sql("SELECT * FROM region", table_catalog(spark, sf_dir)))
 
@@ -298,16 +298,16 @@ def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT source_url, snapshot_no, max(observed_entries) AS declared, max(last_observed_at) AS verified_at FROM source_observations GROUP BY 1, 2),
 p AS (SELECT DISTINCT source_url, snapshot_no, video_id FROM source_entries),
 v AS (SELECT b.source_url, b.snapshot_no, count(*) AS overlap FROM p b JOIN p a ON a.source_url = b.source_url AND a.snapshot_no = b.snapshot_no - 1 AND a.video_id = b.video_id GROUP BY 1, 2)
-SELECT o.source_url, o.snapshot_no, coalesce(listed, 0) AS listed, declared, coalesce(overlap, 0) AS overlap, verified_at,
+SELECT o.source_url, o.snapshot_no, coalesce(listed, 0) AS listed, declared, coalesce(overlap, 0) AS overlap, CAST(floor(epoch(verified_at)) AS BIGINT) AS verified_at,
   CASE WHEN declared IS NULL THEN 'unknown' WHEN coalesce(listed, 0) >= declared THEN 'complete' WHEN coalesce(listed, 0) = 0 THEN 'missing' ELSE 'partial' END AS coverage
 FROM o LEFT JOIN e USING (source_url, snapshot_no) LEFT JOIN v USING (source_url, snapshot_no)""")
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage(read_table(spark, sf_dir, "source_entries"), read_table(spark, sf_dir, "source_observations"), "source_url", "snapshot_no", "video_id", "observed_entries", "last_observed_at")
+    return coverage(read_table(spark, sf_dir, "source_entries"), read_table(spark, sf_dir, "source_observations"), "source_url", "snapshot_no", "video_id", "observed_entries", "last_observed_at").withColumn("verified_at", F.unix_seconds("verified_at"))
 
 
-@_query("source_frontier", "SELECT source_url, count(DISTINCT video_id) AS known_entries, arg_min(video_id, (source_index, video_id)) FILTER (WHERE source_index IS NOT NULL) AS head_id, max(observed_at) AS verified_at FROM source_entries WHERE snapshot_no = 4 GROUP BY 1")
+@_query("source_frontier", "SELECT source_url, count(DISTINCT video_id) AS known_entries, arg_min(video_id, (source_index, video_id)) FILTER (WHERE source_index IS NOT NULL) AS head_id, CAST(floor(epoch(max(observed_at))) AS BIGINT) AS verified_at FROM source_entries WHERE snapshot_no = 4 GROUP BY 1")
 def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frontier(read_table(spark, sf_dir, "source_entries").filter("snapshot_no = 4"), "source_url", "source_index", "video_id", "observed_at")
+    return frontier(read_table(spark, sf_dir, "source_entries").filter("snapshot_no = 4"), "source_url", "source_index", "video_id", "observed_at").withColumn("verified_at", F.unix_seconds("verified_at"))
 
 
 @_query("collection_document", """SELECT -1 AS place, '{"schema":"media-collection","version":1,"collection":{"type":"playlist","metadata":{"title":"all media"}},"entries":[' AS value
@@ -326,13 +326,13 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("source_url", classify(F.col("source_url"), hosts=("tube.example",))["kind"].alias("kind"))
 
 
-@_query("cached_records", """WITH r AS (SELECT CAST(raw_json AS JSON) AS j, TRY_CAST(CASE WHEN regexp_matches(fetched_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN fetched_at ELSE fetched_at || '+00:00' END AS TIMESTAMPTZ) AS fetched FROM metadata_records WHERE json_valid(raw_json)),
+@_query("cached_records", """WITH r AS (SELECT CAST(raw_json AS JSON) AS j, TRY_CAST(CASE WHEN regexp_matches(fetched_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN fetched_at ELSE fetched_at || '+00:00' END AS TIMESTAMPTZ) AS fetched, record_id FROM metadata_records WHERE json_valid(raw_json)),
 o AS (SELECT *, j->>'id' AS id FROM r WHERE json_type(j) = 'OBJECT' AND j->>'id' IS NOT NULL),
-l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched DESC NULLS LAST) = 1),
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched DESC NULLS LAST, record_id DESC) = 1),
 a AS (SELECT id, j->>'title' AS title, j->'tags' AS tags, TRY_CAST(j->>'duration' AS DOUBLE) AS duration, CASE WHEN json_type(j, '$.formats') = 'ARRAY' THEN CAST(j->'formats' AS JSON[]) END AS formats FROM l)
 SELECT id, title, CASE WHEN json_type(tags) = 'ARRAY' THEN CAST(json_array_length(tags) AS BIGINT) END AS n, CAST(len([f FOR f IN formats IF TRY_CAST(f->>'height' AS BIGINT) >= 1080]) AS BIGINT) AS large FROM a
 WHERE list_bool_or([f->>'ext' = 'mp4' AND TRY_CAST(f->>'height' AS BIGINT) > 720 FOR f IN formats]) OR duration > 86400""")
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records of the cache, queried in place."""
-    media = media_records(read_table(spark, sf_dir, "metadata_records"))
+    media = media_records(read_table(spark, sf_dir, "metadata_records"), order=["record_id"])
     return sql("SELECT id, title, CARDINALITY(tags) AS n, COUNT(formats AS f WHERE f.height >= 1080) AS large FROM media WHERE ANY(formats AS f WHERE f.ext = 'mp4' AND f.height > 720) OR duration > 1 day", Catalog().register("media", media))

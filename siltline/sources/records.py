@@ -22,16 +22,18 @@ COLLECTIONS = {
 }
 
 
-def media_records(cached: DataFrame, raw: str = "raw_json", fetched_at: str = "fetched_at", keep: Sequence[str] = (), only_latest: bool = True) -> DataFrame:
+def media_records(cached: DataFrame, raw: str = "raw_json", fetched_at: str = "fetched_at", keep: Sequence[str] = (), only_latest: bool = True, order: Sequence[str] = ()) -> DataFrame:
     """One row per media item, with the known fields and collections of its JSON record.
 
     The JSON is read with a schema, not inferred; members that are none of the declared ones are dropped, a
-    member of another shape is null. With ``only_latest`` the latest readable record of an id counts.
+    member of another shape is null. With ``only_latest`` the latest readable record of an id counts; of equal times
+    the greatest by ``order``, then by a hash of the text, so that a result can be repeated.
     """
     schema = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in [*((n, _TYPES[v]) for n, v in k.KNOWN.items()), *COLLECTIONS.items()]))
-    rows = cached.select(*keep, instant_column(fetched_at).alias("_at"), F.from_json(raw, schema).alias("r")).filter(F.col("r.id").isNotNull())
+    ties = F.struct(*order, F.xxhash64(raw).alias("_hash")).alias("_ties")
+    rows = cached.select(*keep, instant_column(fetched_at).alias("_at"), ties, F.from_json(raw, schema).alias("r")).filter(F.col("r.id").isNotNull())
     if only_latest:
-        rows = rows.groupBy("r.id").agg(F.max_by(F.struct(*keep, "r"), F.struct(F.col("_at").isNotNull(), "_at")).alias("x")).select(*(F.col(f"x.{c}") for c in keep), "x.r")
+        rows = rows.groupBy("r.id").agg(F.max_by(F.struct(*keep, "r"), F.struct(F.col("_at").isNotNull(), "_at", "_ties")).alias("x")).select(*(F.col(f"x.{c}") for c in keep), "x.r")
     return rows.select(*keep, "r.*")
 
 
