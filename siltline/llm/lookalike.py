@@ -188,14 +188,17 @@ def spread_join(left: DataFrame, right: DataFrame, key: Sequence[str], by: str,
 def look_alike_pairs(rows: DataFrame, id: str, text: str) -> DataFrame:
     """Every pair of rows whose texts look the same although their characters differ, from the classes.
 
-    Rows of a class pair with those of its other texts only. Exact copies among themselves are never paired or
-    compared.
+    Pairs are found between distinct texts of a class, and only these are expanded to rows. Exact copies among
+    themselves are never paired or compared.
 
     Returns ``<id>_a`` < ``<id>_b``. Null texts and null ids take part in no pair; empty text looks like text
     of only invisible characters; a repeated id counts as often as it occurs; other columns do not matter.
     """
     classes = materialise(look_alike_classes(rows, id, text))
-    one = classes.select("class_id", F.col(id).alias("i"), F.col("text_id").alias("x"))
-    two = classes.select("class_id", F.col(id).alias("j"), F.col("text_id").alias("y"), F.col("members").alias("rows"))
-    both = spread_join(one, two, ["class_id"], "i").filter((F.col("x") < F.col("y")) & (F.col("i") != F.col("j")))
+    texts = classes.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("copies"))
+    a, b = texts.select("class_id", F.col("text_id").alias("x"), F.col("copies").alias("rows")), texts.select("class_id", F.col("text_id").alias("y"))
+    pairs = a.join(b, "class_id").filter(F.col("x") < F.col("y")).select("x", "y", "rows")
+    one = classes.select(F.col(id).alias("i"), F.col("text_id").alias("x"))
+    two = classes.select(F.col(id).alias("j"), F.col("text_id").alias("y"), F.col("members").alias("rows"))
+    both = spread_join(spread_join(one, pairs, ["x"], "i").select("i", "y"), two, ["y"], "i").filter(F.col("i") != F.col("j"))
     return both.select(F.least("i", "j").alias(f"{id}_a"), F.greatest("i", "j").alias(f"{id}_b"))
