@@ -10,7 +10,7 @@ from siltline.functions.text import WHITE_SPACE, strip_white_space
 from siltline.llm.lookalike import canonical_text, look_alike_classes, look_alike_pairs, visual_sql
 from siltline.llm.mixing import mixture
 from siltline.llm.packing import pack_items, room_gaps
-from siltline.llm.survivor import consensus_survivors
+from siltline.llm.survivor import consensus_survivors, most_trusted
 from siltline.llm.tokens import token_counts
 from siltline.llm.topn import top_n
 from siltline.operators.materialise import materialise
@@ -38,7 +38,8 @@ TRUST = [("effective_priority", "desc"), ("provider_registration_order", "asc"),
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus_survivors(eligible_observations(spark, sf_dir), ["video_id", "field_name"], "observed_value", TRUST).select("video_id", "field_name", "observation_id")
+    """The most trusted observation. Trust alone decides, so values are neither aligned nor read."""
+    return most_trusted(eligible_observations(spark, sf_dir), ["video_id", "field_name"], TRUST).select("video_id", "field_name", "observation_id")
 
 
 def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

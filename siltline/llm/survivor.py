@@ -174,6 +174,23 @@ def _ranked(rows: DataFrame, n: int, name: str, direction: str) -> Column:
     return (F.timestamp_micros(c) if isinstance(kind, T.TimestampType) else c).cast(kind).alias(name)
 
 
+def most_trusted(rows: DataFrame, keys: Sequence[str], by: Sequence[tuple[str, str]], value: str | None = None) -> DataFrame:
+    """The most trusted observation for each group of ``keys``, by the order ``by`` alone.
+
+    This is what ``closest`` returns without weights, whatever the values are, so nothing is aligned. One aggregate, on the map
+    side first, so a group of many rows meets only as its least row of each task.
+
+    Returns the keys, the columns of ``by`` and, if given, ``value``. Null is a key like any other; in ``by`` nulls
+    come last; rows that ``by`` leaves equal are told apart by ``value``, null first; no rows, no result.
+    """
+    keys = list(keys)
+    k = [f"k{i}" for i in range(len(keys))]
+    values = [] if value is None else [F.col(value).alias("value")]
+    base = rows.select(*(F.col(c).alias(a) for a, c in zip(k, keys)), F.struct(_rank(rows, by).alias("best"), *values).alias("row"))
+    found = base.groupBy(*k).agg(F.min("row").alias("row")).select(*k, "row.*")
+    return found.select(*(F.col(a).alias(c) for a, c in zip(k, keys)), *(_ranked(rows, n, c, direction) for n, (c, direction) in enumerate(by)), *(F.col("value").alias(value) for _ in values))
+
+
 def consensus_survivors(
     rows: DataFrame,
     keys: Sequence[str],
@@ -187,7 +204,8 @@ def consensus_survivors(
     The values of a group are aligned token by token in order of trust (``by``), tokens vote per column, and
     the winners are the consensus. With a ``weight`` column a value's vote is the sum of its rows' weights:
     the value that most evidence agrees on survives. Without one the votes are lexicographic, each value
-    outweighs all less trusted ones together: the value backed by the most trusted observation survives.
+    outweighs all less trusted ones together: the value backed by the most trusted observation survives, and
+    as no alignment can change that, none is made (``most_trusted``).
     Of the rows that hold the surviving value, the most trusted one is returned.
 
     Rows are first reduced to distinct values (on the map side too), which are sorted by trust and stream by.
@@ -203,12 +221,14 @@ def consensus_survivors(
     last; a null weight counts 0; empty text has no tokens; ties fall to the more trusted row; repeated rows
     add their weight and change nothing without weights; other columns do not matter; no rows, no result.
     """
+    if weight is None:
+        return most_trusted(rows, keys, by, value)
     keys = list(keys)
     k = [f"k{i}" for i in range(len(keys))]
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(0.0)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     base = rows.select(*(F.col(c).alias(a) for a, c in zip(k, keys)), F.col(value).alias("value"), _rank(rows, by).alias("best"), w.alias("w"))
     distinct = base.groupBy(*k, "value").agg(F.min("best").alias("best"), F.sum("w").alias("w"))
-    settled = _settled(distinct, k, bool(weight), group_values, run_folder(rows.sparkSession))
+    settled = _settled(distinct, k, group_values, run_folder(rows.sparkSession))
     found = _nearest(settled, k, partitions(rows.sparkSession))
     return found.select(*(F.col(a).alias(c) for a, c in zip(k, keys)), *(_ranked(rows, n, c, direction) for n, (c, direction) in enumerate(by)), F.col("value").alias(value))
 
@@ -219,16 +239,16 @@ class _Large:
     def __init__(self, folder: str, k: list[str]) -> None:
         self.k, self.file, self.profile, self.last = k, RunFile(folder, 0, 0, (), ROW_GROUP // 16), Profile(), None
 
-    def add(self, rows: pa.Table, weighted: bool) -> None:
+    def add(self, rows: pa.Table) -> None:
         for v, w in zip(rows.column("value").to_pylist(), rows.column("w").to_pylist()):
-            self.profile.add(tokens(v), w if weighted else 0)
+            self.profile.add(tokens(v), w)
         self.file.add(rows.select([*self.k, "best", "value"]))
         self.last = rows.slice(rows.num_rows - 1)
 
-    def closed(self, weighted: bool, schema: pa.Schema) -> pa.RecordBatch:
+    def closed(self, schema: pa.Schema) -> pa.RecordBatch:
         """What is left to do: one row that names the file, its parts and the consensus."""
         stored = self.file.close()
-        open_ = {"path": pa.array([stored["path"]]), "parts": pa.array([len(self.file.marks)], pa.int32()), "agreed": pa.array([self.profile.consensus(weighted)], pa.list_(pa.string()))}
+        open_ = {"path": pa.array([stored["path"]]), "parts": pa.array([len(self.file.marks)], pa.int32()), "agreed": pa.array([self.profile.consensus()], pa.list_(pa.string()))}
         return _row_batch(self.last, schema, open_)
 
 
@@ -238,7 +258,7 @@ def _row_batch(rows: pa.Table, schema: pa.Schema, more: dict[str, pa.Array]) ->
     return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=schema)
 
 
-def _settled(distinct: DataFrame, k: list[str], weighted: bool, group_values: int, folder: str) -> DataFrame:
+def _settled(distinct: DataFrame, k: list[str], group_values: int, folder: str) -> DataFrame:
     """Per group the survivor, or where its values lie and what they agreed on."""
     kinds = distinct.schema
     out = T.StructType([*(kinds[c] for c in k), T.StructField("best", kinds["best"].dataType), T.StructField("value", T.StringType()), T.StructField("path", T.StringType()), T.StructField("parts", T.IntegerType()), T.StructField("agreed", T.ArrayType(T.StringType()))])
@@ -254,10 +274,10 @@ def _settled(distinct: DataFrame, k: list[str], weighted: bool, group_values: in
             for lo, hi in zip(edges, edges[1:]):
                 if hi - lo > group_values:
                     group = _Large(folder, k)
-                    group.add(table.slice(lo, hi - lo), weighted)
-                    yield group.closed(weighted, schema)
+                    group.add(table.slice(lo, hi - lo))
+                    yield group.closed(schema)
                 else:
-                    chosen.append(lo + closest(values[lo:hi], weights[lo:hi] if weighted else None))
+                    chosen.append(lo + closest(values[lo:hi], weights[lo:hi]))
             if chosen:
                 yield _row_batch(table.take(pa.array(chosen)), schema, {})
 
@@ -270,10 +290,10 @@ def _settled(distinct: DataFrame, k: list[str], weighted: bool, group_values: in
                 new = np.flatnonzero(differs_from_previous(joined(large.last, batch), k))
                 end = int(new[0]) if len(new) else table.num_rows
                 if end:
-                    large.add(table.slice(0, end), weighted)
+                    large.add(table.slice(0, end))
                 if end == table.num_rows:
                     continue
-                yield large.closed(weighted, schema)
+                yield large.closed(schema)
                 large, table = None, table.slice(end)
             elif held is not None:
                 table = pa.concat_tables([held, table]).combine_chunks()
@@ -282,9 +302,9 @@ def _settled(distinct: DataFrame, k: list[str], weighted: bool, group_values: in
             held = table.slice(edges[-1])
             if held.num_rows > group_values:
                 large, held = _Large(folder, k), None
-                large.add(table.slice(edges[-1]), weighted)
+                large.add(table.slice(edges[-1]))
         if large is not None:
-            yield large.closed(weighted, schema)
+            yield large.closed(schema)
         elif held is not None:
             yield from small(held, [0, held.num_rows])
 

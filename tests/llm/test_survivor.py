@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltline.llm import survivor
-from siltline.llm.survivor import align, closest, consensus, consensus_survivors, distance, fit, tokens
+from siltline.llm.survivor import align, closest, consensus, consensus_survivors, distance, fit, most_trusted, tokens
 
 BY = [("p", "desc"), ("t", "desc"), ("i", "asc")]
 SCHEMA = "k string, v string, p int, t timestamp, i bigint, w double"
@@ -219,3 +219,28 @@ def test_one_scan(spark, data):
     for name in ("p1_found", "p3_found"):
         plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 2  # one of each table
+
+
+def test_each_stage_decides(spark, data):
+    """p1_found is settled by trust alone and aligns nothing; where values are aligned, other rows survive."""
+    from siltline.llm.queries import QUERIES
+
+    found, agreed = QUERIES["p1_found"](spark, data), QUERIES["p1_consensus"](spark, data)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, agreed)]
+    assert "MapInArrow" not in plans[0] and "observed_value" not in plans[0] and "MapInArrow" in plans[1]
+    trusted, other = ({(r.video_id, r.field_name): r.observation_id for r in df.collect()} for df in (found, agreed))
+    assert set(trusted) == set(other) and trusted != other
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["p", "q", None]), st.sampled_from(["a b", "a c d", None, ""]), st.sampled_from([1, 2, None]), st.sampled_from([T, None])), max_size=25))
+def test_most_trusted(spark, rows):
+    rows = [(*r, i, 1.0) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows * 2, SCHEMA)
+    assert sorted((tuple(r) for r in most_trusted(df, ["k"], BY).select("k", "i").collect()), key=repr) == expected(rows)
+    places = {}
+    for r in rows:
+        rank = (r[2] is None, -(r[2] or 0), r[3] is None, r[4])
+        places.setdefault(r[0], []).append((rank, r[1]))
+    ordered = {k: [v for _, v in sorted(x, key=lambda y: y[0])] for k, x in places.items()}
+    assert {r.k: r.v for r in most_trusted(df, ["k"], BY, "v").collect()} == {k: v[closest(v, None)] for k, v in ordered.items()}
